@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import uuid
 import zlib
@@ -147,6 +148,7 @@ class Reader:
 
 #: A space at which a text can't be cut for a byte-level vocabulary: white space before it, and white space or the end after it.
 _TIED = re.compile(r"\s (?:\s|\Z)")
+_PLAIN = re.compile(r" [^\s](?:.*[^\s])?", re.S)
 
 
 class Encoder:
@@ -158,38 +160,57 @@ class Encoder:
     """
 
     def __init__(self, path: str, cache: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.limit = cache
+        vocab = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        """Plain words behind a space go to the library as one text: just their first tokens begin with a space."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        for i in range(0, len(plain), 5000):
+            part = plain[i : i + 5000]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(part) or at[0]:
+                raise ValueError("tokens pass a space")
+            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+            self.known.update(zip(part, [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]))
+        for w in words:
+            if w not in self.known:
+                self.known[w] = self._whole(w)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Per text the ids as little-endian 32-bit integers."""
+        cut = [None if _TIED.search(t) else _words(t) for t in texts]
+        known = self.known
+        for i in range(0, len(cut), 64):
+            part = cut[i : i + 64]
+            new = {w for words in part if words for w in words} - known.keys()
+            if len(known) + len(new) > self.limit:
+                known.clear()
+                new = {w for words in part if words for w in words}
+            self._learn(sorted(new))
+            for j, words in enumerate(part, i):
+                cut[j] = self._whole(texts[j]) if words is None else b"".join([known[w] for w in words])
+        return cut
 
     def ids(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if _TIED.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        words = [first, *[" " + w for w in rest]]
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = set(words)
-            if len(new) > self.limit // 2:  # a long text with more distinct words than are kept
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            self._learn([w for w in new if w not in known])
-            if any(w not in known for w in new):
-                self._learn([w for w in new if w not in known])
-            return b"".join([known[w] for w in words])
+        return self.many([text])[0]
+
+
+def _words(text: str) -> list[str]:
+    first, *rest = text.split(" ")
+    return [first, *[" " + w for w in rest]] if text else []
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, kind: str = "byte", shards: int | None = None) -> DataFrame:
@@ -205,16 +226,13 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         encoder, writer, sink, shard = None, None, None, TaskContext.get().partitionId()
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         part = f"{root}/.part-{shard}-{uuid.uuid4().hex}"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _util.steps(batches, "text"):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(part)
                 encoder, writer = Encoder(tokenizer_path), Writer(sink, kind)
-            texts = batch.column("text")
-            for i, d in enumerate(batch.column("doc_id").to_pylist()):
-                writer.add(d, np.concatenate((np.frombuffer(encoder.ids(texts[i].as_py() or ""), "<u4"), end)))
+            for d, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(batch.column("text").to_pylist())):
+                writer.add(d, np.concatenate((np.frombuffer(ids, "<u4"), end)))
         if writer is not None:
             writer.close()
             sink.close()

@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, host_rules, ordinal_quality, toxicity_kn
+from . import _util, bagminhash, bitplane, host_rules, mixing, ordinal_quality, sentencepiece_unigram, toxicity_kn
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_unigram.encode(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     known = _table(spark, sf_dir, "labels").where(~_held_out()).select("doc_id", "toxic")
@@ -42,9 +54,19 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op10_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{_util.shared_dir(spark).rstrip('/')}/planes-{uuid.uuid4().hex}"
+    manifest = bitplane.write_shards(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), folder)
+    return bitplane.read_documents(manifest, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op5_bagminhash, op6_quality, op9_host_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_toxicity, op5_bagminhash, op6_quality, op7_mixing, op9_host_rules, op10_bitplane)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_host_rules": host_rules.SQL}
+    return {"op7_mixing": mixing.SQL, "op9_host_rules": host_rules.SQL}

@@ -54,7 +54,7 @@ class DoubleArray:
                     ends.append(-1)
                 node = nxt
             ends[node] = i
-        size = 2 * len(children) + 1024
+        size = 2 * len(children) + 16384
         used = np.zeros(size, bool)
         used[0] = True
         base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
@@ -67,15 +67,18 @@ class DoubleArray:
             while used[first]:
                 first += 1
             at = max(first - keys[0], 1)
-            keys_a = np.array(keys)
-            while True:
-                if at + 256 >= len(used):
+            while True:  # the first place from there where all children fit, 4096 places at a time
+                if at + 8192 >= len(used):
                     grow = len(used)
                     used = np.concatenate((used, np.zeros(grow, bool)))
                     base, check, value = (np.concatenate((a, np.full(grow, v, np.int32))) for a, v in ((base, 0), (check, -1), (value, -1)))
-                if not used[at + keys_a].any():
+                taken = np.zeros(4096, bool)
+                for b in keys:
+                    taken |= used[at + b : at + b + 4096]
+                if not taken.all():
+                    at += int(taken.argmin())
                     break
-                at += 1
+                at += 4096
             base[state] = at
             for b in keys:
                 used[at + b] = True
