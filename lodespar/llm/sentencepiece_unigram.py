@@ -26,16 +26,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _util
+from . import _stretch, _util
 
 MARK = "▁"
 _MARK = MARK.encode()
 #: Stretches of more bytes are solved one by one.
 LONG = 96
-CACHE = 300_000
 
 
 class DoubleArray:
@@ -229,7 +229,7 @@ class Model:
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.text
-        return b"".join([text[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")[1:]
+        return b"".join([text[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 def _char(b: int) -> int:
@@ -237,35 +237,40 @@ def _char(b: int) -> int:
 
 
 _CHAR = np.array([_char(b) for b in range(256)], np.int64)
-_RUNS = re.compile(r" ( *[^ ]*)")
+_RUNS = re.compile(r" +[^ ]*")
 
 
 class Encoder:
-    """Encodes whole texts, remembering the ids of stretches; a stretch is named without its first space."""
-
-    def __init__(self, model: Model, cache: int = CACHE):
-        self.model, self.limit = model, cache
-        self.known: dict[str, bytes] = {}
-
-    def _cut(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if MARK in text:
-            text = text.replace(MARK, " ")
-        return _RUNS.findall(" " + text) if "  " in text or text[0] == " " else text.split(" ")
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._cut(t) for t in texts]
-        known = self.known
-        new = list({w for words in cut for w in words} - known.keys())
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = list({w for words in cut for w in words})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, ids in zip(part, self.model.solve([_MARK + w.replace(" ", MARK).encode() for w in part])):
-                known[w] = np.array(ids, np.int32).tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in cut]
+    """Encodes whole texts; each stretch stands for itself with a marker before it, and texts with runs of spaces are cut apart."""
+
+    def __init__(self, model: Model, limit: int = _stretch.LIMIT):
+        self.model = model
+        self.stretches = _stretch.Stretches(self._solve, self._whole, f"^ |  |{MARK}", False, limit)
+
+    def _solve(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(words), 20_000):
+            out += [np.array(x, np.uint32).tobytes() for x in self.model.solve([_MARK + w.encode() for w in words[i : i + 20_000]])]
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        runs = _RUNS.findall(" " + text.replace(MARK, " "))
+        return b"".join(np.array(x, np.uint32).tobytes() for x in self.model.solve([r.replace(" ", MARK).encode() for r in runs]))
+
+    def many(self, col: pa.Array) -> list[np.ndarray]:
+        """Per text its ids; an empty text has none."""
+        empty = pc.equal(col, "").to_numpy(zero_copy_only=False)
+        return [x[:0] if e else x for x, e in zip(self.stretches.encode(col), empty)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str, model: Model) -> Encoder:
+    """One per worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(model)
+    return _encoders[path]
 
 
 _models: dict[str, Model] = {}
@@ -284,20 +289,20 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     shared = spark.sparkContext.broadcast(load(model_path))
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = _encoder(model_path, shared.value)
         byte = np.zeros(len(shared.value.text), bool)
         byte[shared.value.byte_ids] = True
         for batch in _util.steps(batches, "text"):
             texts = batch.column("text").to_pylist()
-            ids = encoder.many(texts)
+            ids = encoder.many(batch.column("text"))
             counts = [len(x) for x in ids]
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
             total = np.concatenate(([0], np.cumsum(byte[flat])))
             ends = np.cumsum(counts)
             cols = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(total[ends] - total[ends - counts])]
             if digest:
                 same = [encoder.model.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts)]
-                cols += [pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(same)]
+                cols += [pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(same)]
                 yield pa.record_batch(cols, names=["id", "n_pieces", "n_bytes", "ids_crc32", "decoded_same"])
             else:
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(flat)))
