@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tpch
+from . import operator_queries, tpch
 
-_MODULES = [tpch]
+_MODULES = [tpch, operator_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
