@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import operator_queries, tpch
+from . import function_queries, operator_queries, tpch
 
-_MODULES = [tpch, operator_queries]
+_MODULES = [tpch, operator_queries, function_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
