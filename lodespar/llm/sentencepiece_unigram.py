@@ -321,6 +321,6 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out: str =
     shared = spark.sparkContext.broadcast(load(model_path))
 
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else shared.value.decode(x) for x in col.to_pylist()], pa.string())
+        return pa.array([None if x is None else shared.value.decode(np.asarray(x, np.int64)) for x in col.to_pylist()], pa.string())
 
     return encoded.withColumn(out, F.arrow_udf(run, "string").asNondeterministic()(F.col(ids_col)))
