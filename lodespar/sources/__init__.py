@@ -1,0 +1,7 @@
+"""Readers and writers."""
+
+from .files import info_columns, read_files, read_with_deletes, write_partitions, write_table
+from .generate import random_rows
+from .text import read_delimited, write_delimited
+
+__all__ = ["info_columns", "random_rows", "read_delimited", "read_files", "read_with_deletes", "write_delimited", "write_partitions", "write_table"]

@@ -48,8 +48,7 @@ def same(duck):
         return names, sorted(tuple(map(text, r)) for r in zip(*[t.column(c).to_pylist() for c in names]))
 
     def check(df, sql):
-        b = duck.execute(sql).arrow()
-        b = b.read_all() if hasattr(b, "read_all") else b
+        b = duck.sql(sql).to_arrow_table()
         assert rows(df.toArrow()) == rows(b)
 
     return check
