@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 
-from . import aggregates, ansi, binary, geometry, ip, probability, spark_dialect
+from . import aggregates, ansi, binary, geometry, ip, probability, sketches, spark_dialect
 
-_DIALECTS = {"ansi": (ansi, aggregates, probability, binary, ip, geometry), "spark": (spark_dialect,)}
+_DIALECTS = {"ansi": (ansi, aggregates, probability, binary, ip, geometry, sketches), "spark": (spark_dialect,)}
 
 
 def names(dialect: str) -> list[str]:

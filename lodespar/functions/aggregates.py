@@ -194,12 +194,12 @@ def _noise(scale: float, seed: int | None) -> Column:
 
 @fn
 def noisy_count_gaussian(x, scale: float, seed: int | None = None) -> Column:
-    return F.greatest(F.round(F.count(x) + F.first(_noise(scale, seed))), F.lit(0)).cast("bigint")
+    return F.greatest(F.round(F.count(x) + _noise(scale, seed)), F.lit(0)).cast("bigint")
 
 
 @fn
 def noisy_count_if_gaussian(x, scale: float, seed: int | None = None) -> Column:
-    return F.greatest(F.round(F.count_if(_c(x)) + F.first(_noise(scale, seed))), F.lit(0)).cast("bigint")
+    return F.greatest(F.round(F.count_if(_c(x)) + _noise(scale, seed)), F.lit(0)).cast("bigint")
 
 
 def _clip(x, low, high) -> Column:
@@ -209,12 +209,12 @@ def _clip(x, low, high) -> Column:
 
 @fn
 def noisy_sum_gaussian(x, scale: float, low: float | None = None, high: float | None = None, seed: int | None = None) -> Column:
-    return F.sum(_clip(x, low, high)) + F.first(_noise(scale, seed))
+    return F.sum(_clip(x, low, high)) + _noise(scale, seed)
 
 
 @fn
 def noisy_avg_gaussian(x, scale: float, low: float | None = None, high: float | None = None, seed: int | None = None) -> Column:
-    return F.avg(_clip(x, low, high)) + F.first(_noise(scale, seed))
+    return F.avg(_clip(x, low, high)) + _noise(scale, seed)
 
 
 # ---- forms on DataFrames: count first, gather the counts
