@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
+#: Rows of numbers that one file of a table with a known bound takes.
+ROWS_PER_FILE = 400_000
+
 _shipped: set[str] = set()
 
 
@@ -44,9 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared folder as Parquet and reads it back: the lineage ends there."""
+def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """Materialises df in the shared folder as Parquet and reads it back: the lineage ends there.
+
+    most_rows: a bound of its rows, where one is known; few rows go to few files.
+    """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(2 + most_rows // ROWS_PER_FILE)
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,9 +13,10 @@ the signature doesn't depend on the time chosen. Components of two signatures
 agree with a probability that is the weighted Jaccard similarity.
 
 Texts with equal multisets form a class, and all that follows works on one row
-per class. Bands of components give buckets; each bucket has one pivot, chosen
-by a hash of class and band, and every other class of the bucket is a candidate
-of that pivot: links in proportion to the rows, whatever a bucket's size. Each
+per class. Bands of components give buckets; each bucket has two pivots, its
+most central class (whose buckets hold most classes) and one by a hash, and
+every other class of the bucket is a candidate of these: links in proportion to
+the rows, whatever a bucket's size. Each
 class first verifies its most frequent candidate by exact multiset overlap,
 and then all candidates that still lead to other groups; in further rounds a
 bucket that still spans several groups gets links between one class of each
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _util
-from ._graph import components
+from ._graph import components, joined
 from ._words import U, Words, mix, shingles
 
 SHINGLE = 5
@@ -152,16 +153,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
     described = _util.cut(numbered.select("row", "text").mapInArrow(_describe, "row bigint, key bigint, bands array<bigint>"))
+    most = described.count() * BANDS
     rows = described.select("row", "key")
     # one row per class: the smallest row number stands for it; its bands are those of any member
     classes = described.where("key is not null").groupBy("key").agg(F.min("row").alias("row"))
-    buckets = classes.join(described.select("row", "bands"), "row").select("key", F.posexplode("bands").alias("band", "bucket"))
-    buckets = _util.cut(buckets)
+    buckets = classes.join(described.select("row", "bands"), "row").select("key", F.explode("bands").alias("bucket"))
+    buckets = _util.cut(buckets, most)
     order = lambda salt: F.xxhash64(F.lit(salt), "key", "bucket")
-    pivots = buckets.groupBy("bucket").agg(F.min(F.struct(order(0).alias("h"), F.col("key").alias("pivot"))).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("p.pivot").alias("pivot"))
-    candidates = _util.cut(
-        buckets.join(pivots, "bucket").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), F.col("key").alias("from")).groupBy("a", "b", "from").agg(F.count(F.lit(1)).alias("times"))
-    )
+    # only buckets of several classes count; a class is the more central the more classes its buckets hold
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = _util.cut(buckets.join(sizes, "bucket"), most)
+    central = shared.groupBy("key").agg(F.sum("n").alias("score"))
+    scored = shared.select("bucket", "key").join(central, "key")
+    pivots = scored.groupBy("bucket").agg(F.max(F.struct("score", F.col("key").alias("pivot"))).alias("p"), F.min(F.struct(order(0).alias("h"), F.col("key").alias("pivot"))).alias("q")).select("bucket", F.array("p.pivot", "q.pivot").alias("pivots"))
+    pairs = shared.select("bucket", "key").join(pivots, "bucket").select("key", F.explode("pivots").alias("pivot")).where("key <> pivot")
+    candidates = _util.cut(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), F.col("key").alias("from")).groupBy("a", "b", "from").agg(F.count(F.lit(1)).alias("times")), 2 * most)
     # the texts of the classes that have a candidate
     nodes = candidates.select(F.col("a").alias("key")).unionAll(candidates.select(F.col("b").alias("key"))).distinct()
     wanted = classes.join(nodes, "key")
@@ -172,32 +178,40 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         full = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         return full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint")
 
-    # each class takes the candidate it shares most bands with
+    def grouped(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """pairs a, b with their groups ca, cb, where these differ."""
+        for k in ("a", "b"):
+            pairs = pairs.join(comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))
+        return pairs.where("ca <> cb")
+
+    # each class takes the candidate it shares most bands with; then all that still lead to other groups are tried
     best = candidates.groupBy("from").agg(F.max(F.struct("times", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    links = _util.cut(verified(best))
-    tried = best
-    for turn in range(1 + CROSS_ROUNDS):
-        comp = _util.cut(components(links))
-        side = lambda df, k: df.join(comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")), k, "left").withColumn(f"c{k}", F.coalesce(f"c{k}", k))  # noqa: E731, B023
-        if turn == 0:
-            pairs = side(side(candidates.select("a", "b").distinct(), "a"), "b").where("ca <> cb").select("a", "b")
-        else:
-            shared = buckets.join(pivots.select("bucket"), "bucket").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-            one = shared.groupBy("bucket", "component").agg(F.min(F.struct(order(turn).alias("h"), F.col("key").alias("key"))).alias("m"))
-            one = one.select("bucket", F.col("m.h").alias("h"), F.col("m.key").alias("key"))
-            lead = one.groupBy("bucket").agg(F.min(F.struct("h", "key")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("p.key").alias("pivot"))
-            pairs = one.join(lead, "bucket").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        found = _util.cut(verified(pairs))
-        if found.isEmpty() and turn:
+    comp = _util.cut(components(verified(best), most), most)
+    rest = grouped(candidates.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), comp)
+    comp = _merge(comp, verified(rest.select("a", "b")), grouped, most)
+    for turn in range(1, 1 + CROSS_ROUNDS):
+        # one class of each group that a bucket still holds, linked to one of them
+        held = shared.select("bucket", "key").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        one = held.groupBy("bucket", "component").agg(F.min(F.struct(order(turn).alias("h"), F.col("key").alias("key"))).alias("m")).select("bucket", "m.h", "m.key")
+        lead = one.groupBy("bucket").agg(F.min(F.struct("h", "key")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("p.key").alias("pivot"))
+        pairs = one.join(lead, "bucket").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
+        pairs = _util.cut(pairs.join(candidates.select("a", "b").distinct(), ["a", "b"], "left_anti"), most)
+        if pairs.isEmpty():
+            break
+        merged = _merge(comp, verified(pairs), grouped, most)
+        if merged is comp:
             break
-        tried = tried.unionAll(pairs) if turn == 0 else tried
-        links = links.unionAll(found)
-    comp = components(links)
+        comp = merged
     out = rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("row", "key", F.coalesce("component", "key").alias("component"))
     return ids.join(out, "row").select("row", "id", "key", "component")
 
 
+def _merge(comp: DataFrame, links: DataFrame, grouped, most: int) -> DataFrame:
+    """comp after further links; comp itself if there is none."""
+    found = _util.cut(grouped(links, comp).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), most)
+    return comp if found.isEmpty() else _util.cut(joined(comp, found, most), most)
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: row, id, component_id (the smallest id of the group; null if the group has none) and kept: the group's row of the smallest id (nulls last), the first of equal ones.
 

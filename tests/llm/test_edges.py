@@ -131,3 +131,53 @@ def test_plane_round_trip(kind):
             continue
         back = bitplane.round_trip(docs, kind, block)
         assert [d for d, _ in back] == [d for d, _ in docs] and all((a == b).all() and len(a) == len(b) for (_, a), (_, b) in zip(docs, back))
+
+
+def test_near_groups_equal_brute_force(spark):
+    """A large group of edited copies, some of them linked by way of others only."""
+    import random
+
+    import pyarrow as pa
+
+    from lodespar.llm._words import Words, shingles
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for i in range(150):
+        t = list(base if i < 100 else [rng.choice(words) for _ in range(60)])
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(" ".join(t))
+    w = Words.of(pa.array(texts))
+    row, item, count = shingles(w)
+    bags = [dict(zip(item[row == i].tolist(), count[row == i].tolist())) for i in range(len(texts))]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sum(min(n, bags[j].get(k, 0)) for k, n in bags[i].items())
+            if both >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.id: r.component_id for r in bagminhash.deduplicated(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_components(spark):
+    from lodespar.llm._graph import components, joined
+
+    links = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 150), (7, 7)] + [(300, 300 + i) for i in range(1, 50)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(31)} | {100: 100, 150: 100, 200: 100} | {300 + i: 300 for i in range(50)}
+    comp = spark.createDataFrame(list(got.items()), "node bigint, component bigint")
+    more = {r.node: r.component for r in joined(comp, spark.createDataFrame([(100, 300), (900, 0)], "a bigint, b bigint")).collect()}
+    assert more == {k: 100 if v == 300 else v for k, v in got.items()} | {900: 0}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
