@@ -45,3 +45,21 @@ def test_bytes_and_addresses(spark):
         c("is_private_ip", F.lit("10.0.0.1")).alias("v"), c("ip_prefix_collapse", F.array(F.lit("192.168.0.0/24"), F.lit("192.168.1.0/24"))).alias("k"), c("normalize", F.lit("é")).alias("n"),
     ).first()
     assert r.h == "5BDCC146BF60754E6A042426089575C75A003F089D2739839DEC58B964EC3843" and r.d == 1.5 and r.p == "192.128.0.0/9" and r.s and r.v and r.k == ["192.168.0.0/23"] and r.n == "é"
+
+
+def test_simplify_and_nearest():
+    assert g.to_text(g.simplify(g.from_text("LINESTRING (0 0, 1 0.1, 2 0, 3 2)"), 0.5)) == "LINESTRING (0 0, 2 0, 3 2)"
+    assert g.to_text(g.simplify(g.from_text(HOLED), 2.5)) == SQUARE and g.simplify(g.from_text(HOLED), 9.0)[1] == []
+    a, b = g.nearest_points(g.from_text(SQUARE), g.from_text("POINT (7 2)"))
+    assert (g.to_text(a), g.to_text(b)) == ("POINT (4 2)", "POINT (7 2)")
+
+
+def test_tiles(spark):
+    t = g._tile(3, 5, 3)
+    box = g.tile_polygon(t)
+    centre = g.centroid(box)
+    assert g.tiles_of(centre, 3) == [t] and len(g.tiles_of(box, 4)) >= 4 and len(g.tiles_around(0.0, 0.0, 3)) == 9 and len(g.tiles_around(0.0, 0.0, 1)) == 4
+    inner = g._box((-179.0, -80.0, 179.0, 80.0))
+    assert g.dissolved_tiles(inner, 3) == [g._tile(0, 0, 0)]
+    x = spark.range(1).select(call("ansi", "bing_tile_at", 10.0, 20.0, 7).alias("a"), call("ansi", "bing_tiles_around", F.lit(10.0), F.lit(20.0), F.lit(7)).alias("b")).first()
+    assert x.a in x.b and g._tile_at(20.0, 10.0, 7) == g._untile(x.a)[:2]
