@@ -36,14 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _util
+from . import _stretch, _util
 
 MAGIC = b"LPLANES1"
 BLOCK = 1 << 16
 END_ID = 2
 LEVEL = 3
-#: Most words that a worker remembers the ids of.
-CACHE_WORDS = 300_000
 
 
 def planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -146,8 +144,9 @@ class Reader:
             held = held[n:]
 
 
-#: A space at which a text can't be cut for a byte-level vocabulary: white space before it, and white space or the end after it.
-_TIED = re.compile(r"\s (?:\s|\Z)")
+#: White space, for RE2; and a space at which a text can't be cut for a byte-level vocabulary: white space before it, and white space or the end after it.
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TIED = f"{_WS} (?:{_WS}|\\z)"
 _PLAIN = re.compile(r" [^\s](?:.*[^\s])?", re.S)
 
 
@@ -159,20 +158,20 @@ class Encoder:
     between other white space goes to it whole.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = _stretch.LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.limit = cache
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.stretches = _stretch.Stretches(self._solve, self._whole, _TIED, True, limit)
 
-    def _learn(self, words: list[str]) -> None:
+    def _solve(self, words: list[str]) -> list[bytes]:
         """Plain words behind a space go to the library as one text: just their first tokens begin with a space."""
+        out: dict[str, bytes] = {}
         plain = [w for w in words if _PLAIN.fullmatch(w)]
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
@@ -181,36 +180,24 @@ class Encoder:
             if len(at) != len(part) or at[0]:
                 raise ValueError("tokens pass a space")
             raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-            self.known.update(zip(part, [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]))
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self._whole(w)
+            out.update(zip(part, [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]))
+        return [out[w] if w in out else self._whole(w) for w in words]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        """Per text the ids as little-endian 32-bit integers."""
-        cut = [None if _TIED.search(t) else _words(t) for t in texts]
-        known = self.known
-        for i in range(0, len(cut), 64):
-            part = cut[i : i + 64]
-            new = {w for words in part if words for w in words} - known.keys()
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = {w for words in part if words for w in words}
-            self._learn(sorted(new))
-            for j, words in enumerate(part, i):
-                cut[j] = self._whole(texts[j]) if words is None else b"".join([known[w] for w in words])
-        return cut
+    def many(self, col: pa.Array) -> list[np.ndarray]:
+        return self.stretches.encode(col)
 
-    def ids(self, text: str) -> bytes:
-        return self.many([text])[0]
 
+_encoders: dict[str, Encoder] = {}
 
-def _words(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]] if text else []
+
+def encoder_of(path: str) -> Encoder:
+    """One per worker process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, kind: str = "byte", shards: int | None = None) -> DataFrame:
@@ -230,9 +217,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(part)
-                encoder, writer = Encoder(tokenizer_path), Writer(sink, kind)
-            for d, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(batch.column("text").to_pylist())):
-                writer.add(d, np.concatenate((np.frombuffer(ids, "<u4"), end)))
+                encoder, writer = encoder_of(tokenizer_path), Writer(sink, kind)
+            for d, ids in zip(batch.column("doc_id").to_pylist(), encoder.many(batch.column("text"))):
+                writer.add(d, np.concatenate((ids, end)))
         if writer is not None:
             writer.close()
             sink.close()
