@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Most stretches that a worker remembers.
-LIMIT = 600_000
+#: Most stretches of a generation; a worker remembers two generations.
+LIMIT = 450_000
 
 
 class Stretches:
@@ -24,18 +24,28 @@ class Stretches:
 
     def __init__(self, solve: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes], uncut: str, lead: bool, limit: int = LIMIT):
         self.solve, self.whole, self.uncut, self.lead, self.limit = solve, whole, uncut, lead, limit
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _entries(self, keys: list[str]) -> list[bytes]:
-        known = self.known
-        new = [k for k in keys if k not in known]
+        """What is used stays: a full generation becomes the old one, from which later uses bring stretches back."""
+        young, old = self.young, self.old
+        out = [young.get(k) for k in keys]
+        new = []
+        for i in [i for i, v in enumerate(out) if v is None]:
+            v = old.get(keys[i])
+            if v is None:
+                new.append(i)
+            else:
+                out[i] = young[keys[i]] = v
         if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = keys
-            new = list(dict.fromkeys(new))
-            known.update(zip(new, self.solve(new)))
-        return [known[k] for k in keys]
+            words = list(dict.fromkeys([keys[i] for i in new]))
+            young.update(zip(words, self.solve(words)))
+            for i in new:
+                out[i] = young[keys[i]]
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return out
 
     def encode(self, col: pa.Array) -> list[np.ndarray]:
         """Per row of a string column without nulls its ids."""
