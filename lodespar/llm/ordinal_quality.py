@@ -94,43 +94,39 @@ def fit_rows(texts: pa.Array, y: np.ndarray, rounds: int = 250, rate: float = 0.
     grades, k = np.unique(y, return_inverse=True)
     if len(grades) < 2:
         return Model(grades.astype(float) if len(grades) else np.zeros(1), np.zeros(1 << BITS), np.zeros(0))
-    row, index, value = [], [], []
-    done = 0
+    # pieces of about a megabyte of text each; all steps go piece by piece, so memory holds 12 bytes a feature and little else
+    pieces: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+    size, done = 1 << BITS, 0
     for piece in _util.steps(iter([pa.record_batch([texts], names=["t"])]), "t"):
         r, i, v, counts = features(piece.column(0))
-        key = r * (1 << BITS) + i
-        u, inv = np.unique(key, return_inverse=True)
-        row.append((u >> BITS) + done)
-        index.append(u & ((1 << BITS) - 1))
-        value.append(np.bincount(inv, v, len(u)))
+        u, inv = np.unique(r * size + i, return_inverse=True)
+        pieces.append((done, done + len(counts), (u >> BITS).astype(np.int32), (u & (size - 1)).astype(np.int32), np.bincount(inv, v, len(u)).astype(np.float32)))
         done += len(counts)
-    row, value = np.concatenate(row), np.concatenate(value)
-    used, index = np.unique(np.concatenate(index), return_inverse=True)
     m, n = len(grades) - 1, len(y)
     share = np.cumsum(np.bincount(k))[:-1] / n
     start = np.log(share / (1 - share))
-    theta = np.concatenate((np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
-    mean, var = np.zeros_like(theta), np.zeros_like(theta)
+    theta = np.concatenate((np.zeros(size), start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
+    mean, var, g, z = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(theta), np.zeros(n)
     weight = (n / (len(grades) * np.bincount(k)))[k]  # each grade counts the same in all
     for step in range(1, rounds + 1):
-        w, t = theta[: len(used)], np.cumsum(np.concatenate((theta[len(used) : len(used) + 1], np.exp(theta[len(used) + 1 :]))))
-        z = np.bincount(row, w[index] * value, n)
+        w, t = theta[:size], np.cumsum(np.concatenate((theta[size : size + 1], np.exp(theta[size + 1 :]))))
+        for lo, hi, row, index, value in pieces:
+            z[lo:hi] = np.bincount(row, w[index] * value, hi - lo)
         upper = np.where(k < m, _sigmoid(np.append(t, 0)[np.minimum(k, m)] - z), 1.0)
         lower = np.where(k > 0, _sigmoid(np.append(t, 0)[np.maximum(k - 1, 0)] - z), 0.0)
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p * weight / n, lower * (1 - lower) / p * weight / n
         gz = du - dl
         gt = np.bincount(k, -du, m + 1)[:m] + np.bincount(np.maximum(k - 1, 0), dl, m + 1)[:m]
-        g = np.empty_like(theta)
-        g[: len(used)] = np.bincount(index, gz[row] * value, len(used)) + ridge * w
+        np.multiply(w, ridge, out=g[:size])
+        for lo, hi, row, index, value in pieces:
+            g[:size] += np.bincount(index, gz[lo:hi][row] * value, size)
         tail = np.cumsum(gt[::-1])[::-1]
-        g[len(used)] = tail[0]
-        g[len(used) + 1 :] = tail[1:] * np.exp(theta[len(used) + 1 :])
+        g[size] = tail[0]
+        g[size + 1 :] = tail[1:] * np.exp(theta[size + 1 :])
         mean, var = 0.9 * mean + 0.1 * g, 0.99 * var + 0.01 * g * g
         theta -= rate * min(1, 3 * (1 - step / rounds)) * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
-    weights = np.zeros(1 << BITS)
-    weights[used] = theta[: len(used)]
-    return Model(grades.astype(float), weights, np.cumsum(np.concatenate((theta[len(used) : len(used) + 1], np.exp(theta[len(used) + 1 :])))))
+    return Model(grades.astype(float), theta[:size].copy(), np.cumsum(np.concatenate((theta[size : size + 1], np.exp(theta[size + 1 :])))))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS) -> Model:
