@@ -18,9 +18,18 @@ most central class (whose buckets hold most classes) and one by a hash, and
 every other class of the bucket is a candidate of these: links in proportion to
 the rows, whatever a bucket's size. Each
 class first verifies its most frequent candidate by exact multiset overlap,
-and then all candidates that still lead to other groups; in further rounds a
-bucket that still spans several groups gets links between one class of each
-group. Groups are connected components of verified links.
+and then all candidates that still lead to other groups. The classes of buckets
+that still span several groups are then joined exactly, by their prefixes: each
+class lists its shingles from rare to common, and the first common shingle of
+two similar classes has so much of both behind it that only about the rarest
+fifth of a class, and ninth of the smaller one, can hold it. All pairs of
+different groups that meet in one are verified, so no similar pair that shares
+a bucket stays in two groups. Groups are connected components of verified links.
+
+How common a shingle is, is counted in a table of a fixed size; that only orders
+the shingles, and any order gives the same links. Where many classes of
+different groups share even their rarest shingles, their pairs are all verified,
+which takes as long as there are such pairs.
 
 Edge cases: null and empty texts have no shingle and stay alone. A text of
 fewer than five words is one shingle of all its words. Repeated rows fall in
@@ -41,8 +50,10 @@ from ._words import U, Words, mix, shingles
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
-#: Rounds that look for links between groups which share a bucket.
-CROSS_ROUNDS = 2
+#: Cells of the table that counts in how many classes a shingle stands; shingles of one cell count together.
+CELLS = 1 << 20
+#: Parts that one group's rows of a shingle are gathered in, and most gathered rows of a shingle that meet the others in one task.
+PARTS, BLOCK = 16, 1000
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -146,6 +157,64 @@ def _verify(batches):
         yield pa.record_batch([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
 
+def _tally(batches):
+    """Per cell the number of texts' distinct shingles in it."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in _util.steps(batches, "text"):
+        item = shingles(Words.of(batch.column("text")), SHINGLE)[1]
+        total += np.bincount((item & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    cell = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
+
+
+def prefixes(row: np.ndarray, item: np.ndarray, count: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of each row's prefix, the weight of each one's item and of all more common ones, and the row's weight.
+
+    The items of two rows that overlap by t are at most as common as the first they share, with a weight of at least t behind it in both.
+    """
+    order = np.lexsort((item, common[(item & U(CELLS - 1)).astype(np.int64)], row))
+    rows = int(row.max()) + 1 if len(row) else 0
+    weight = np.bincount(row, count, rows).astype(np.int64)
+    done = np.cumsum(count[order]) - count[order]
+    behind = weight[row[order]] - (done - (np.cumsum(weight) - weight)[row[order]])
+    at = behind >= THRESHOLD * weight[row[order]] - 1e-6
+    return order[at], behind[at], weight[row[order][at]]
+
+
+def _cross_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """mixed: key, component. All pairs a, b of different components that can be similar by their prefixes."""
+    spark = mixed.sparkSession
+    rows = texts.join(mixed, "key").select("key", "component", "text")
+    tally = rows.select("text").mapInArrow(_tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(CELLS, np.int64)
+    common[tally.column("cell").to_numpy()] = tally.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(common)
+
+    def run(batches):
+        for batch in _util.steps(batches, "text"):
+            row, item, count = shingles(Words.of(batch.column("text")), SHINGLE)
+            at, behind, weight = prefixes(row, item, count, shared.value)
+            of = pa.array(row[at])
+            yield pa.record_batch([pa.array(item[at].view(np.int64)), batch.column("key").take(of), batch.column("component").take(of), pa.array(behind, pa.int64()), pa.array(weight, pa.int64())], names=["item", "key", "component", "behind", "weight"])
+
+    listed = _util.cut(rows.mapInArrow(run, "item bigint, key bigint, component bigint, behind bigint, weight bigint"))
+    # least weight that similar classes share: of both weights together, and of twice the smaller one
+    share = THRESHOLD / (1 + THRESHOLD)
+    first = F.col("behind") >= 2 * share * F.col("weight") - 1e-6
+    many = listed.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(first).alias("first")).where("low < high and first").select("item")
+    # the rows of a group are gathered, for they need not meet each other; a very common shingle's are dealt into blocks
+    gathered = listed.join(many, "item").groupBy("item", "component", F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("weight", "key", "behind", first.alias("first"))).alias("x"))
+    gathered = _util.cut(gathered)
+    blocks = gathered.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = gathered.join(blocks, "item")
+    left = dealt.select("item", F.pmod(F.xxhash64(F.lit(6), "component", "part"), F.col("blocks")).cast("int").alias("block"), F.col("component").alias("cx"), F.filter("x", lambda e: e["first"]).alias("x")).where(F.size("x") > 0)
+    right = dealt.select("item", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("component").alias("cy"), F.col("x").alias("y"))
+    met = left.join(right, ["item", "block"]).where("cx <> cy").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    smaller = F.struct("x.weight", "x.key") < F.struct("y.weight", "y.key")
+    enough = F.least("x.behind", "y.behind") >= share * (F.col("x.weight") + F.col("y.weight")) - 1e-6
+    return met.where(smaller & enough).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: row (its number, see number_rows), id, class key (null without a word) and component (the smallest class key of its group)."""
     spark = docs.sparkSession
@@ -189,19 +258,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     comp = _util.cut(components(verified(best), most), most)
     rest = grouped(candidates.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), comp)
     comp = _merge(comp, verified(rest.select("a", "b")), grouped, most)
-    for turn in range(1, 1 + CROSS_ROUNDS):
-        # one class of each group that a bucket still holds, linked to one of them
-        held = shared.select("bucket", "key").join(comp.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        one = held.groupBy("bucket", "component").agg(F.min(F.struct(order(turn).alias("h"), F.col("key").alias("key"))).alias("m")).select("bucket", "m.h", "m.key")
-        lead = one.groupBy("bucket").agg(F.min(F.struct("h", "key")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("p.key").alias("pivot"))
-        pairs = one.join(lead, "bucket").where("key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-        pairs = _util.cut(pairs.join(candidates.select("a", "b").distinct(), ["a", "b"], "left_anti"), most)
-        if pairs.isEmpty():
-            break
-        merged = _merge(comp, verified(pairs), grouped, most)
-        if merged is comp:
-            break
-        comp = merged
+    # the classes of buckets that still hold several groups
+    held = shared.join(comp.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    several = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    mixed = _util.cut(held.join(several, "bucket", "left_semi").select("key", "component").distinct(), most)
+    if not mixed.isEmpty():
+        pairs = _util.cut(_cross_pairs(mixed, texts).join(candidates.select("a", "b").distinct(), ["a", "b"], "left_anti"))
+        comp = _merge(comp, verified(pairs), grouped, most)
     out = rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("row", "key", F.coalesce("component", "key").alias("component"))
     return ids.join(out, "row").select("row", "id", "key", "component")
 

@@ -171,6 +171,44 @@ def test_near_groups_equal_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_near_groups_of_a_template(spark):
+    """Texts of one template with words of their own, each with an edited copy: similar pairs must not stay apart because their buckets are full of the template."""
+    import random
+
+    rng = random.Random(7)
+    template = [f"t{i}" for i in range(263)]
+    texts = []
+    for i in range(100):
+        t = template + [f"own{i}x{j}" for j in range(37)]
+        copy = list(t)
+        for k in rng.sample(range(5, 255, 5), 6):
+            copy[k] = f"edit{i}x{k}"
+        texts += [" ".join(t), " ".join(copy)]
+    bags = [{hash(tuple(w[j : j + 5])) for j in range(296)} for w in map(str.split, texts)]
+    similar = {(i, j) for i in range(200) for j in range(i + 1, 200) if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])}
+    assert similar == {(i, i + 1) for i in range(0, 200, 2)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.id: r.component_id for r in bagminhash.deduplicated(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(200)}
+
+
+def test_prefixes_hold_the_first_common_shingle():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 3, bagminhash.CELLS)
+    for _ in range(200):
+        items = rng.integers(0, 2**63, 40).astype(np.uint64)
+        a, b = rng.integers(1, 4, 40), rng.integers(1, 4, 40)
+        b = np.where(rng.random(40) < 0.85, a, b)
+        a, b = a * (rng.random(40) < 0.97), b * (rng.random(40) < 0.97)
+        row = np.repeat([0, 1], [(a > 0).sum(), (b > 0).sum()])
+        item, count = np.concatenate((items[a > 0], items[b > 0])), np.concatenate((a[a > 0], b[b > 0]))
+        at, behind, weight = bagminhash.prefixes(row, item, count, common)
+        both = np.minimum(a, b).sum()
+        if both >= 0.8 * np.maximum(a, b).sum():
+            x, y = ({int(item[k]): (int(s), int(w)) for k, s, w in zip(at, behind, weight) if row[k] == side} for side in (0, 1))
+            assert any(min(x[k][0], y[k][0]) >= 0.8 / 1.8 * (x[k][1] + y[k][1]) - 1e-6 for k in x.keys() & y.keys())
+
+
 def test_components(spark):
     from lodespar.llm._graph import components, joined
 
