@@ -14,7 +14,9 @@ verdict never empties a page: where all its blocks would go, they stay.
 Elements that by their tag, role or class are menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts or styles are removed on
 every page, and where a page marks an article or main part, text outside of it
-is removed.
+is removed. Words of class or id that tell a state (has-sidebar, no-ads) don't
+count, nor do any on a main part, on an element around it, or, where all
+articles stand in elements of such words, on those around the least enclosed.
 
 Edge cases: null and empty pages give an empty text. Pages without a host in
 their url are judged by their own marks only. Repeated pages count as often as
@@ -60,7 +62,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A whole attribute, so that no name is found inside another's name or value.
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?")
+_STATE = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[-_]\S*")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 #: A start of one of these ends an open p; a start of a key ends an open one of its values.
@@ -75,10 +79,12 @@ def _step(parent: int, name: str) -> int:
 
 
 class Node:
-    __slots__ = ("depth", "kids", "main", "noise", "path", "tag")
+    """named: the node itself and those around it that only words of class or id mark as noise, by number."""
 
-    def __init__(self, tag: str, path: int, depth: int, noise: bool, main: bool):
-        self.tag, self.path, self.depth, self.noise, self.main = tag, path, depth, noise, main
+    __slots__ = ("depth", "kids", "main", "named", "noise", "path", "tag")
+
+    def __init__(self, tag: str, path: int, depth: int, noise: bool, main: bool, named: frozenset[int] = frozenset()):
+        self.tag, self.path, self.depth, self.noise, self.main, self.named = tag, path, depth, noise, main, named
         self.kids = 0
 
 
@@ -90,7 +96,23 @@ class Page:
         self.styles: list[tuple[int, int]] = []
         self._parts: list[str] = []
         self._stack = [Node("", 1, 0, False, False)]
+        self._named_of: list[list[frozenset[int]]] = [[], []]
+        self._count = 0
+        self._mains: list[frozenset[int]] = []
+        self._articles: list[frozenset[int]] = []
         self._read(html or "")
+        if self._count:
+            self._unname()
+
+    def _unname(self) -> None:
+        """Drops what stands in elements that their words mark as noise, but for those that are or hold the main part."""
+        clear = frozenset().union(*self._mains)
+        parts = [x - clear for x in self._mains + self._articles]
+        least = min(map(len, parts), default=0)
+        clear = clear.union(*(x for x in parts if len(x) == least))
+        blocks, styles = self._named_of
+        self.blocks = [b for b, x in zip(self.blocks, blocks) if x <= clear]
+        self.styles = [s for s, x in zip(self.styles, styles) if x <= clear]
 
     def _flush(self) -> None:
         if self._parts:
@@ -99,6 +121,7 @@ class Page:
             top = self._stack[-1]
             if text and not top.noise:
                 self.blocks.append((text, tuple(n.path for n in self._stack[1:]), top.main))
+                self._named_of[0].append(top.named)
 
     def _text(self, raw: str) -> None:
         if raw and not self._stack[-1].noise:
@@ -108,6 +131,7 @@ class Page:
         node = self._stack.pop()
         if not node.noise and node.kids:
             self.styles.append((node.path, node.kids))
+            self._named_of[1].append(node.named)
 
     def _close(self, names, fence=_FENCES) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -130,21 +154,31 @@ class Page:
         words: set[str] = set()
         role, label, hidden = "", tag, False
         if attrs:
+            known: set[str] = set()
             for m in _ATTR.finditer(attrs):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+                if name in known:  # the first of equal names counts
+                    continue
+                known.add(name)
                 if name == "role":
                     role = value.strip()
                 elif name in ("class", "id"):
-                    words.update(w for w in _SPLIT.split(value) if w)
+                    words.update(w for w in _SPLIT.split(_STATE.sub("", value)) if w)
                     if name == "class":
                         label = f"{tag}.{value}"
-                elif name == "hidden" or value == "true":
+                elif name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
                     hidden = True
         inside = tag in ("article", "main") or role in ("main", "article")
-        noise = top.noise or hidden or tag in NOISE_TAGS or role in NOISE_ROLES or (tag not in ("html", "body") and bool(words & NOISE_WORDS)) or (tag == "header" and not top.main)
+        noise = top.noise or hidden or tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not top.main)
+        named = top.named
+        if not noise and tag not in ("html", "body") and words & NOISE_WORDS:
+            self._count += 1
+            named = named | {self._count}
+        if inside and not noise:
+            (self._mains if "main" in (tag, role) else self._articles).append(named)
         path = _step(top.path, label)
         top.kids = _step(top.kids or 7, label)
-        self._stack.append(Node(tag, path, top.depth + 1, noise, top.main or (inside and not noise)))
+        self._stack.append(Node(tag, path, top.depth + 1, noise, top.main or (inside and not noise), named))
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)

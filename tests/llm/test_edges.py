@@ -109,6 +109,23 @@ def test_site_tree_removes_repeated_branches(spark):
     assert {r.text for r in site_style_tree.extract(rows).collect()} == {f"story {i} is told here\nand it ends {i * 7}" for i in range(12)}
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<article><div style='overflow:hidden'>a</div><p data-hidden=false>b</p><a href='/the-hidden-costs'>c</a></article>",
+        "<div class='content has-sidebar'><p>a</p><p>b</p><p>c</p></div>",
+        "<main class='with-sidebar'><p>a</p><p>b</p><p>c</p></main>",
+        "<div class='widget'><article><p>a</p><p>b</p><p>c</p></article></div><div class='comments'><div class='comment'><article>no</article></div></div>",
+        "<div class='social sidebar'><main id='search'><p>a</p><p>b</p><p>c</p><div class=share>no</div></main></div>",
+        "<main><p>a</p><p>b</p><p>c</p><section class=comments><article>no</article></section></main>",
+        "<div class=related><article>no</article></div><article><p>a</p><p>b</p><p>c</p><p hidden>no</p><p hidden=''>no</p><p aria-hidden='true'>no</p></article>",
+        "<article><p aria-hidden=false title='hidden'>a</p><p alt='it > hidden'>b</p><p id=x class='' data-x=true>c</p></article>",
+    ],
+)
+def test_pages_keep_their_article(html):
+    assert site_style_tree.Page(f"<html><body>{html}</body></html>").text() == "a\nb\nc"
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((60, 16))
