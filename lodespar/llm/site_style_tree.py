@@ -7,9 +7,11 @@ how many pages each block below it stands (content). A node's presentation
 importance is the entropy of its children's styles, to the base of the number
 of pages; a block's content importance is one less the entropy of its spread
 over pages, so text that stands on every page has none. A node's importance
-weighs both by depth, and branches whose importance is below ``LEAST`` on at
-least ``MIN_PAGES`` pages are removed from each page of the host. The host's
-verdict never empties a page: where all its blocks would go, they stay.
+weighs both by depth. On paths of at least ``MIN_PAGES`` pages, a branch all of
+whose nodes are below ``LEAST`` is removed from each page of the host, and so
+is a block whose own content importance is, whatever stands beside it. The tree
+holds all nodes, those of the lists below too, which are applied after it. The
+host's verdict never empties a page: where all its blocks would go, they stay.
 
 Elements that by their tag, role or class are menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts or styles are removed on
@@ -78,6 +80,10 @@ def _step(parent: int, name: str) -> int:
     return (parent * 1_000_003 + zlib.crc32(name.encode("utf-8", "replace")) * 2_654_435_761 + 12_345) & _MASK
 
 
+def _line(parts) -> str:
+    return _SPACE.sub(" ", "".join(parts)).strip()
+
+
 class Node:
     """named: the node itself and those around it that only words of class or id mark as noise, by number."""
 
@@ -93,16 +99,18 @@ class Page:
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[str, tuple[int, ...], bool]] = []
+        #: All blocks with the paths around them, those that the lists remove too.
+        self.all: list[tuple[str, tuple[int, ...]]] = []
         self.styles: list[tuple[int, int]] = []
-        self._parts: list[str] = []
+        self._parts: list[tuple[str, frozenset[int]]] = []
+        self._dark: list[str] = []
         self._stack = [Node("", 1, 0, False, False)]
-        self._named_of: list[list[frozenset[int]]] = [[], []]
+        self._pieces: list[list[tuple[str, frozenset[int]]]] = []
         self._count = 0
         self._mains: list[frozenset[int]] = []
         self._articles: list[frozenset[int]] = []
         self._read(html or "")
-        if self._count:
-            self._unname()
+        self._unname()
 
     def _unname(self) -> None:
         """Drops what stands in elements that their words mark as noise, but for those that are or hold the main part."""
@@ -110,28 +118,49 @@ class Page:
         parts = [x - clear for x in self._mains + self._articles]
         least = min(map(len, parts), default=0)
         clear = clear.union(*(x for x in parts if len(x) == least))
-        blocks, styles = self._named_of
-        self.blocks = [b for b, x in zip(self.blocks, blocks) if x <= clear]
-        self.styles = [s for s, x in zip(self.styles, styles) if x <= clear]
+        kept = []
+        for (text, paths, main), pieces in zip(self.blocks, self._pieces):
+            if any(x for _, x in pieces):
+                gone = _line(t for t, x in pieces if not x <= clear)
+                text = _line(t for t, x in pieces if x <= clear)
+                if gone:
+                    self.all.append((gone, paths))
+            if text:
+                kept.append((text, paths, main))
+                self.all.append((text, paths))
+        self.blocks = kept
 
     def _flush(self) -> None:
+        self._flush_dark()
         if self._parts:
-            text = _SPACE.sub(" ", "".join(self._parts)).strip()
-            self._parts = []
+            pieces, self._parts = self._parts, []
+            text = _line(t for t, _ in pieces)
             top = self._stack[-1]
             if text and not top.noise:
                 self.blocks.append((text, tuple(n.path for n in self._stack[1:]), top.main))
-                self._named_of[0].append(top.named)
+                self._pieces.append(pieces)
+
+    def _flush_dark(self) -> None:
+        """Text that the lists remove, for the tree only."""
+        if self._dark:
+            text, self._dark = _line(self._dark), []
+            if text:
+                self.all.append((text, tuple(n.path for n in self._stack[1:])))
 
     def _text(self, raw: str) -> None:
-        if raw and not self._stack[-1].noise:
-            self._parts.append(_html.unescape(raw) if "&" in raw else raw)
+        if raw:
+            top, raw = self._stack[-1], _html.unescape(raw) if "&" in raw else raw
+            if top.noise:
+                self._dark.append(raw)
+            else:
+                self._parts.append((raw, top.named))
 
     def _pop(self) -> None:
+        if len(self._stack) > 1 and self._stack[-1].noise != self._stack[-2].noise:
+            self._flush_dark()
         node = self._stack.pop()
-        if not node.noise and node.kids:
+        if node.kids:
             self.styles.append((node.path, node.kids))
-            self._named_of[1].append(node.named)
 
     def _close(self, names, fence=_FENCES) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -212,12 +241,13 @@ class Page:
         while self._stack:
             self._pop()
 
-    def text(self, removed: frozenset[int] = frozenset()) -> str:
+    def text(self, removed: frozenset[int] = frozenset(), repeated: frozenset[tuple[int, int]] = frozenset()) -> str:
+        """removed: paths whose own blocks go; repeated: path and feature of single blocks that go."""
         blocks = self.blocks
         if any(b[2] for b in blocks):
             blocks = [b for b in blocks if b[2]]
-        if removed:
-            blocks = [b for b in blocks if not removed.intersection(b[1])] or blocks
+        if removed or repeated:
+            blocks = [b for b in blocks if not b[1] or (b[1][-1] not in removed and (not repeated or (b[1][-1], _feature(b[0])) not in repeated))] or blocks
         return "\n".join(b[0] for b in blocks)
 
 
@@ -231,29 +261,37 @@ _PAGES, _STYLE, _CONTENT = 0, 1, 2
 
 def _observe(batches):
     for batch in _util.steps(batches, "html"):
-        cols: list[list] = [[], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], []]
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = Page(html)
-            seen: set[tuple[int, int, int, int]] = set()
-            for text, paths, _ in page.blocks:
+            seen: set[tuple[int, int, int, int, int]] = set()
+            own = {(paths[-1], _feature(text)) for text, paths in page.all if paths}
+            for text, paths in page.all:
                 f = _feature(text)
                 for depth, p in enumerate(paths, 1):
-                    seen.add((p, _PAGES, 0, depth))
-                    seen.add((p, _CONTENT, f, depth))
+                    seen.add((p, _PAGES, 0, depth, 0))
+                    seen.add((p, _CONTENT, f, depth, int((p, f) in own)))
             known = {x[0] for x in seen}
-            seen.update((p, _STYLE, s, 0) for p, s in page.styles if p in known)
+            seen.update((p, _STYLE, s, 0, 0) for p, s in page.styles if p in known)
             for row in seen:
                 cols[0].append(host)
                 for c, v in zip(cols[1:], row):
                     c.append(v)
-        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())], names=["host", "path", "kind", "feature", "depth"])
+        yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32())], names=["host", "path", "kind", "feature", "depth", "own"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """pages: host, html. Returns per host and path: n_pages, depth, presentation, content, importance."""
+    return _importance(_counts(pages))
+
+
+def _counts(pages: DataFrame) -> DataFrame:
     _util.ship(pages.sparkSession)
-    rows = pages.where("host is not null and html is not null").select("host", "html").mapInArrow(_observe, "host string, path bigint, kind int, feature bigint, depth int")
-    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"))
+    rows = pages.where("host is not null and html is not null").select("host", "html").mapInArrow(_observe, "host string, path bigint, kind int, feature bigint, depth int, own int")
+    return rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("depth"), F.max("own").alias("own"))
+
+
+def _importance(counts: DataFrame) -> DataFrame:
     # sums that don't need the number of pages: with m pages, log_m(x) is ln(x) / ln(m)
     n, kind = F.col("n").cast("double"), F.col("kind")
     nodes = counts.groupBy("host", "path").agg(
@@ -281,16 +319,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     _util.ship(spark)
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    low = style_tree(named.select("host", "html")).where((F.col("importance") < least) & (F.col("n_pages") >= min_pages))
-    low = _util.cut(low.groupBy("host").agg(F.collect_set("path").alias("low")))
+    counts = _util.cut(_counts(named.select("host", "html")))
+    nodes = _importance(counts).where(F.col("n_pages") >= min_pages).select("host", "path", "n_pages", "importance")
+    # a removed branch is one without a node that counts, so its blocks go by their own nodes; a block that stands on n of m pages has an importance of 1 - log_m(n)
+    paths = nodes.where(F.col("importance") < least).select("host", "path", F.lit(None).cast("bigint").alias("feature"))
+    often = counts.where((F.col("kind") == _CONTENT) & (F.col("own") == 1) & (F.col("n") >= 2)).select("host", "path", "feature", "n").join(nodes.where(F.col("importance") >= least), ["host", "path"])
+    often = often.where((F.col("n_pages") > 1) & (1 - F.log("n") / F.log("n_pages") < least)).select("host", "path", "feature")
+    low = _util.cut(paths.unionAll(often).groupBy("host").agg(F.collect_set(F.when(F.col("feature").isNull(), F.col("path"))).alias("low"), F.collect_set(F.when(F.col("feature").isNotNull(), F.struct("path", "feature"))).alias("often")))
     if low.count() <= BROADCAST_HOSTS:
         low = F.broadcast(low)
-    rows = named.join(low, "host", "left").select("page_id", "url", "html", "low")
+    rows = named.join(low, "host", "left").select("page_id", "url", "html", "low", "often")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in _util.steps(batches, "html"):
-            texts = [Page(h).text(frozenset(x or ())) for h, x in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
+            texts = [Page(h).text(frozenset(x or ()), frozenset((e["path"], e["feature"]) for e in y or ())) for h, x, y in zip(*(batch.column(c).to_pylist() for c in ("html", "low", "often")))]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")

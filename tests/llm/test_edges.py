@@ -126,6 +126,14 @@ def test_pages_keep_their_article(html):
     assert site_style_tree.Page(f"<html><body>{html}</body></html>").text() == "a\nb\nc"
 
 
+def test_site_tree_holds_all_nodes_and_judges_blocks(spark):
+    page = lambda i: "<body><nav>menu</nav><article>" + "".join(f"<p>own {i} {j}" for j in range(10)) + "<p>Call us now</article></body>"
+    rows = spark.createDataFrame([(i, f"http://h/{i}", page(i), "h") for i in range(12)], "page_id bigint, url string, html string, host string")
+    assert {r.text for r in site_style_tree.extract(rows).collect()} == {"\n".join(f"own {i} {j}" for j in range(10)) for i in range(12)}
+    assert ("menu", 2) in {(t, len(p)) for t, p in site_style_tree.Page(page(0)).all}
+    assert site_style_tree.Page("<p>a <span class=share>no</span> b <button>no</button> c").text() == "a b c"
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((60, 16))
