@@ -8,6 +8,26 @@ from pyspark.sql import functions as F
 from . import _util
 
 
+class Union:
+    """Sets of the numbers below n, joined in memory."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def components(links: DataFrame, most_links: int | None = None) -> DataFrame:
     """links: a, b (long, not null). Returns node, component: the smallest node that is reachable.
 

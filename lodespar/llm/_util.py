@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,10 +38,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process, as in tests."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"lodespar-{sc.applicationId}")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
@@ -62,14 +65,26 @@ def cut(df: DataFrame, most_rows: int | None = None) -> DataFrame:
 
 def drop_cut(df: DataFrame) -> None:
     """Removes the files of a table made by cut(), once nothing reads it any more."""
-    spark = df.sparkSession
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, f)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Steps of a plan after which a second reading may give rows in other partitions.
+_UNSTEADY = re.compile(r"Exchange|MapIn|FlatMap|Sample|Limit")
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """df with rows that come in the same partitions each time it is read: itself if it is read from files without a shuffle, else a copy in the shared folder."""
+    return cut(df) if _UNSTEADY.search(df._jdf.queryExecution().executedPlan().toString()) else df
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into slices of about STEP_BYTES of the given text column; a null text counts as empty."""
+def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into slices of about most bytes of the given text column; a null text counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -81,7 +96,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordB
         sizes = pc.binary_length(col).to_numpy(zero_copy_only=False)
         start, total = 0, 0
         for i, n in enumerate(sizes):
-            if total and total + n > STEP_BYTES:
+            if total and total + n > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += int(n)

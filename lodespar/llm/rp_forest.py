@@ -14,9 +14,19 @@ task of its own. A pair of classes that share several leaves is counted in the
 first of them, so numbers of links need no list of pairs; for groups, each block
 sends only a spanning forest of its links.
 
+Vectors of each length have a forest of their own, for those of different
+lengths have no cosine. A length too rare for the sample, of which there are
+many vectors nonetheless, has trees fitted on random directions. The driver
+takes the number of vectors by length: k lengths need k * k / 2 components, so
+there are few even in a huge table.
+
 Edge cases: null labels, null, zero-length or zero vectors, and vectors with
 null or non-finite components link with nothing. Rows with equal vectors are
-linked. An empty table gives an empty result.
+linked. Rows with the same id are vectors of their own; a group's component_id
+is the smallest id in it, so several rows of one id may be kept. Null ids sort
+after all others, and a group of null ids only has a null component_id. A cosine
+of just 0.98 is a link, as computed in double precision. Other columns of the
+input don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _util
-from ._graph import components
+from ._graph import Union, components
+from ._rows import RowTable
 
 THRESHOLD = 0.98
 TREES = 8
@@ -38,8 +49,8 @@ SAMPLE = 20_000
 LEAF, LEAF_SAMPLE = 400, 12
 #: A node is narrow where nine in ten of its sample have this cosine or more with their mean.
 NARROW = 0.9
-#: Classes that are compared with classes at once.
-BLOCK = 1024
+#: Classes of a block; a task compares two of them, TILE classes with TILE at once.
+BLOCK, TILE = 4096, 1024
 SEED = 7
 
 
@@ -52,9 +63,11 @@ class Forest:
         self.bounds: list[tuple[float, float]] = []
         self.child: list[tuple[int, int]] = []
         self.roots: list[int] = []
+        rng = np.random.default_rng(seed)
+        if len(sample) < 4 * LEAF_SAMPLE and total > 4 * LEAF:
+            sample = _unit(rng.standard_normal((1000, self.dim)))
         share = max(len(sample), 1) / max(total, 1)
         least = max(LEAF_SAMPLE, LEAF * share)
-        rng = np.random.default_rng(seed)
         for _ in range(trees):
             root = len(self.child)
             self.roots.append(root)
@@ -116,21 +129,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _forest_edges(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append(k)
-    return out
+    joined = Union(n)
+    return [k for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())) if joined.join(a, b)]
 
 
 def _shared_before(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
@@ -143,14 +143,19 @@ def _shared_before(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
 
 def compare(xa: np.ndarray, xb: np.ndarray, la: np.ndarray, lb: np.ndarray, leaf: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places (i in a, j in b) of the links that this leaf counts."""
-    cos = xa @ xb.T
-    i, j = np.nonzero(cos >= THRESHOLD - 1e-9)
-    if same:
-        i, j = i[i < j], j[i < j]
-    exact = np.einsum("ij,ij->i", xa[i], xb[j]) >= THRESHOLD
-    i, j = i[exact], j[exact]
-    first = ~_shared_before(la[i], lb[j], leaf)
-    return i[first], j[first]
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in range(0, len(xa), TILE):
+        for q in range(p if same else 0, len(xb), TILE):
+            i, j = np.nonzero(xa[p : p + TILE] @ xb[q : q + TILE].T >= THRESHOLD - 1e-9)
+            i, j = i + p, j + q
+            if same:
+                i, j = i[i < j], j[i < j]
+            exact = np.einsum("ij,ij->i", xa[i], xb[j]) >= THRESHOLD
+            i, j = i[exact], j[exact]
+            first = ~_shared_before(la[i], lb[j], leaf)
+            out.append((i[first], j[first]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (none, none)
 
 
 def _pad(lists: list[list[int]], fill: int) -> np.ndarray:
@@ -162,8 +167,8 @@ def _pad(lists: list[list[int]], fill: int) -> np.ndarray:
 
 def _links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One pair of blocks of one leaf and label. Rows: node, other (null), n: links of a class by weight; or node, other: a link of the forest."""
-    leaf = key[1].as_py()
-    same = key[2].as_py() == key[3].as_py()
+    leaf = key[2].as_py()
+    same = key[3].as_py() == key[4].as_py()
     side = np.array(table.column("side").to_pylist(), bool)
     x = _unit(_matrix(table.column("embedding").combine_chunks()))
     ids = table.column("class").to_numpy()
@@ -184,55 +189,61 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """Per row: vec_id, n_links, component_id, kept."""
     spark = rows.sparkSession
     _util.ship(spark)
-    named = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
+    named = _util.steady(rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label")))
+    named = named.withColumn("row", F.monotonically_increasing_id())
     finite = F.expr("size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
-    good = named.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
-    # equal vectors of a label are a class, named by its smallest id
+    # equal vectors of a label are a class, named by its first row
     key = F.struct(F.col("label"), F.expr("transform(embedding, x -> x + 0.0D)").alias("v"))
-    hashed = good.withColumn("h", F.xxhash64(key)).withColumn("h2", F.xxhash64(F.lit(1), key))
-    classes = hashed.groupBy("label", "h", "h2").agg(F.min("vec_id").alias("class"), F.count(F.lit(1)).alias("size"))
-    members = _util.cut(hashed.select("vec_id", "label", "h", "h2").join(classes, ["label", "h", "h2"]).select("vec_id", "class", "size", "label"))
-    reps = _util.cut(members.where("vec_id = class").select("class", "size").dropDuplicates(["class"]).join(good.dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "class"), "class"))
-    dims = [r[0] for r in reps.select(F.size("embedding")).distinct().limit(64).collect()]
-    found = None
-    for dim in dims:  # vectors of different lengths have no cosine
-        one = reps.where(F.size("embedding") == dim)
-        part = _forest_links(one)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        links, comp = None, None
-    else:
-        found = _util.cut(found)
-        links = found.where("other is null").groupBy(F.col("node").alias("class")).agg(F.sum("n").alias("far"))
-        comp = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "class")
-        members = members.join(links, "class", "left").join(comp, "class", "left").withColumn("n_links", F.coalesce("far", F.lit(0)) + F.col("size") - 1).withColumn("component_id", F.coalesce("component", "class"))
-        members = members.groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    if found is None:
-        return named.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    out = named.select("vec_id").join(members, "vec_id", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    hashed = named.where(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))).select("row", "vec_id", "label", F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("h2"))
+    classes = hashed.groupBy("label", "h", "h2").agg(F.min("row").alias("class"), F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("size"))
+    members = _util.cut(hashed.join(classes, ["label", "h", "h2"]).select("row", "class", "low", "size"))
+    one = members.where("row = class")
+    chosen = RowTable(one.select("row", F.array("size").alias("to")))
+    reps = named.withColumn("size", F.get(chosen.get(F.col("row")), F.lit(0))).where("size is not null")
+    reps = _util.cut(reps.select(F.col("row").alias("class"), "size", "label", "embedding"))
+    chosen.drop()
+    found = _util.cut(_forest_links(reps))
+    _util.drop_cut(reps)
+    links = found.where("other is null").groupBy(F.col("node").alias("class")).agg(F.sum("n").alias("far"))
+    comp = _util.cut(components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
+    comp = comp.withColumnRenamed("node", "class")
+    lowest = one.select("class", "low").join(comp, "class").groupBy("component").agg(F.min("low").alias("lowest"))
+    known = members.join(links, "class", "left").join(comp, "class", "left").join(lowest, "component", "left")
+    known = known.select("row", (F.coalesce("far", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("lowest")).alias("component_id"), F.lit(True).alias("known"))
+    out = named.select("row", "vec_id").join(known, "row", "left")
+    component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _forest_links(reps: DataFrame) -> DataFrame:
     spark = reps.sparkSession
-    total = reps.count()
-    sample = reps.orderBy(F.xxhash64(F.lit(SEED), "class"), "class").limit(SAMPLE).select("embedding").toArrow()
-    sample = _unit(_matrix(sample.column("embedding").combine_chunks()))
-    shared = spark.sparkContext.broadcast(Forest(sample, total))
+    totals = dict(reps.groupBy(F.size("embedding")).count().collect())
+    sample = reps.orderBy(F.xxhash64(F.lit(SEED), "class"), "class").limit(SAMPLE).select("embedding").toArrow().column("embedding").combine_chunks()
+    size = np.asarray(sample.value_lengths()) if len(sample) else np.zeros(0, np.int64)
+    samples = {int(d): _unit(_matrix(sample.filter(pa.array(size == d)))) for d in np.unique(size)}
+    fitted = {d: Forest(x, totals[d]) for d, x in samples.items()}
+    shared = spark.sparkContext.broadcast((fitted, totals))
+
+    def forest(dim: int) -> Forest:
+        fitted, totals = shared.value
+        if dim not in fitted:
+            fitted[dim] = Forest(np.zeros((0, dim)), totals[dim])
+        return fitted[dim]
 
     def grow(batches):
         for batch in batches:
-            if batch.num_rows:
-                leaves = shared.value.leaves(_unit(_matrix(batch.column("embedding"))))
-                yield pa.record_batch([batch.column("class"), batch.column("size"), batch.column("label"), batch.column("embedding"), pa.array(leaves, pa.list_(pa.int64()))], names=["class", "size", "label", "embedding", "leaves"])
+            size = np.asarray(batch.column("embedding").value_lengths())
+            for dim in np.unique(size).tolist():
+                part = batch.filter(pa.array(size == dim))
+                leaves = forest(dim).leaves(_unit(_matrix(part.column("embedding"))))
+                yield pa.record_batch([part.column("class"), part.column("size"), part.column("label"), part.column("embedding"), pa.array([dim] * part.num_rows, pa.int32()), pa.array(leaves, pa.list_(pa.int64()))], names=["class", "size", "label", "embedding", "dim", "leaves"])
 
     label = reps.schema["label"].dataType.simpleString()
-    placed = _util.cut(reps.select("class", "size", "label", "embedding").mapInArrow(grow, f"class bigint, size bigint, label {label}, embedding array<double>, leaves array<bigint>"))
-    single = placed.select("class", "label", F.explode("leaves").alias("leaf"))
+    placed = _util.cut(reps.mapInArrow(grow, f"class bigint, size bigint, label {label}, embedding array<double>, dim int, leaves array<bigint>"))
+    single = placed.select("class", "label", "dim", F.explode("leaves").alias("leaf"))
     # a leaf of more than a block of one label is dealt into blocks by a hash; each pair of blocks is compared
-    sizes = single.groupBy("label", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "leaf", "blocks")
-    rows = placed.select("*", F.explode("leaves").alias("leaf")).join(sizes, ["label", "leaf"]).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "class"), F.col("blocks")).cast("int"))
+    sizes = single.groupBy("label", "dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "dim", "leaf", "blocks")
+    rows = placed.select("*", F.explode("leaves").alias("leaf")).join(sizes, ["label", "dim", "leaf"]).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "class"), F.col("blocks")).cast("int"))
     pairs = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("class", "size", "label", "embedding", "leaves", "leaf", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), (F.col("block") > F.col("o")).alias("side"))
-    return pairs.groupBy("label", "leaf", "p", "q").applyInArrow(_links, "node bigint, other bigint, n bigint")
+    pairs = pairs.select("class", "size", "label", "dim", "embedding", "leaves", "leaf", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), (F.col("block") > F.col("o")).alias("side"))
+    return pairs.groupBy("label", "dim", "leaf", "p", "q").applyInArrow(_links, "node bigint, other bigint, n bigint")
