@@ -7,7 +7,8 @@ per text how much of it repeats. A text's results are its expected grade and
 the tail probability P(grade >= g) that selection uses.
 
 Edge cases: null and empty texts have no word feature, only those of the whole
-text. Labelled rows with a null grade or id are not used. With fewer than two
+text; a text of any length is read whole. Labelled rows with a null grade or id
+are not used. A probability of just the least one asked for keeps a document. With fewer than two
 grades among the labels the model knows one grade: its expected grade is that
 one, its tail probability 1. Rows repeat as given; other columns are untouched.
 """
@@ -16,15 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _util
 from ._words import U, Words, buffer, mix
 
 BITS = 18
-#: Bound of the labelled rows that a model is fitted on, by grade.
-MAX_ROWS = 2000
+#: Bounds of the labelled rows that a model is fitted on: by grade, over all grades, and of their texts' bytes by grade.
+MAX_ROWS, MAX_ALL, MAX_BYTES = 2000, 20_000, 32 << 20
 OUT = "struct<expected_grade:double,tail:double>"
 
 _CLASS = np.zeros(256, np.uint8)
@@ -130,18 +131,27 @@ def fit_rows(texts: pa.Array, y: np.ndarray, rounds: int = 250, rate: float = 0.
 
 
 def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """docs: doc_id, text; ratings: doc_id, grade. Of each grade the max_rows rows with the smallest hash of the id are used; a document with several ratings keeps the highest."""
+    """docs: doc_id, text; ratings: doc_id, grade.
+
+    Of each grade the max_rows rows with the smallest hash of the id are used,
+    fewer where there are so many grades that these would be more than MAX_ALL,
+    and of these those whose texts, in that order, have MAX_BYTES or less
+    together. A document with several ratings keeps the highest; of several
+    texts with one id the longest is used.
+    """
     spark = docs.sparkSession
     _util.ship(spark)
     known = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("double").alias("grade")).withColumn("h", F.xxhash64(F.lit("quality"), "doc_id"))
     known = _util.cut(known)
-    parts = [known.where(F.col("grade") == g).orderBy("h", "doc_id").limit(max_rows) for (g,) in known.select("grade").distinct().orderBy("grade").limit(32).collect()]
-    if not parts:
-        return Model(np.zeros(1), np.zeros(1 << BITS), np.zeros(0))
-    picked = parts[0]
-    for x in parts[1:]:
-        picked = picked.unionByName(x)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "grade", F.coalesce("text", F.lit("")).alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    grades = known.agg(F.count_distinct("grade")).first()[0]
+    each = max(1, min(max_rows, MAX_ALL // max(grades, 1)))
+    first = Window.partitionBy("grade").orderBy("h", "doc_id")
+    picked = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).drop("n")
+    # a bounded number of rows meets all documents
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").withColumn("size", F.octet_length("text"))
+    texts = _util.cut(texts.groupBy("doc_id", "grade", "h").agg(F.max_by("text", F.struct("size", "text")).alias("text"), F.max("size").alias("size")), 2 * MAX_ALL)
+    fits = texts.select("doc_id", "grade", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0)).alias("upto")).where(F.col("upto") <= MAX_BYTES)
+    sample = texts.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "grade", "text").toArrow().sort_by([("doc_id", "ascending")])
     return fit_rows(pa.chunked_array(sample.column("text").chunks, sample.schema.field("text").type).combine_chunks(), sample.column("grade").to_numpy())
 
 
