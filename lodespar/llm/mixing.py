@@ -18,8 +18,10 @@ by row, so that a leaf with any share of the rows is spread over all tasks.
 
 Edge cases: null domain, language or source is a sibling of its own, named
 "(none)". Null ids hash as "". A null or empty text has no token and is taken
-with the prefix it lies in. Rows that repeat are taken as often as they stand.
-A leaf without tokens gets nothing. An empty table gives an empty result.
+with the prefix it lies in; a text of any length counts whole. Rows that repeat
+are taken as often as they stand. Ties of rows in a leaf's order, of the same
+hash and tokens, are cut in any order. A leaf without tokens gets nothing. Other
+columns may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ MAX_EPOCHS = 2
 SEED = 42
 #: Domain of a document: there is no such column, so sources are dealt to four domains by their last character.
 DOMAIN = "concat('group', cast(ascii(right(source, 1)) % 4 as string))"
-#: Most leaves whose plan is sent to every executor; a larger plan joins by a shuffle.
-BROADCAST_LEAVES = 50_000
+#: Most leaves, and bytes of their names, whose plan is sent to every executor; a larger plan joins by a shuffle, with the same result.
+BROADCAST_LEAVES, BROADCAST_BYTES = 50_000, 8 << 20
 LEVELS = ("domain", "lang", "source")
 
 
@@ -81,9 +83,11 @@ def plan(rows: DataFrame, weights=WEIGHTS, budget_pct: int = BUDGET_PCT, max_epo
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, domain: str) -> DataFrame:
+    """The columns of docs as __c0, __c1, ..., so that no name of theirs can meet one used here, and what the plan needs."""
     none = F.lit("(none)")
+    own = [F.col(f"`{n}`").alias(f"__c{i}") for i, n in enumerate(docs.columns)]
     return docs.select(
-        "*", F.coalesce(F.expr(domain), none).alias("__domain"), F.coalesce(F.col("lang"), none).alias("__lang"), F.coalesce(F.col("source"), none).alias("__source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), n_tokens(F.col(text_col)).alias("__tokens")
+        *own, F.coalesce(F.expr(domain), none).alias("__domain"), F.coalesce(F.col("lang"), none).alias("__lang"), F.coalesce(F.col("source"), none).alias("__source"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__id"), n_tokens(F.col(f"`{text_col}`")).alias("__tokens")
     )
 
 
@@ -91,7 +95,8 @@ def _planned(rows: DataFrame, compact: DataFrame, seed: int, weights, budget_pct
     """rows (with the __ columns of _described): those that are taken, with their number of copies as __copies."""
     named = compact.select(F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), "__id")
     leaves = _util.cut(plan(named, weights, budget_pct, max_epochs))
-    small = leaves.count() <= BROADCAST_LEAVES
+    many, wide = leaves.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.concat(*LEVELS))), F.lit(0))).first()
+    small = many <= BROADCAST_LEAVES and wide <= BROADCAST_BYTES
     leaf = lambda x: F.broadcast(x) if small else x
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("full").cast("string"), F.lit(":"), F.col("__id")).cast("binary"))
     ranges = named.join(leaf(leaves), list(LEVELS)).withColumn("range", F.substring(order, 1, 3)).groupBy(*LEVELS, "range", "rest").agg(F.sum("n_tokens").alias("n"))
@@ -108,7 +113,7 @@ def _planned(rows: DataFrame, compact: DataFrame, seed: int, weights, budget_pct
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain: str = DOMAIN, seed: int = SEED, weights=WEIGHTS, budget_pct: int = BUDGET_PCT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """Per document taken and epoch: the id, domain, lang, source, n_tokens, epoch (from 0)."""
-    rows = _util.cut(_described(docs, id_col, text_col, domain).select(F.col(id_col).alias("doc_id"), "__domain", "__lang", "__source", "__id", "__tokens"))
+    rows = _util.cut(_described(docs, id_col, text_col, domain).select(F.col(f"__c{docs.columns.index(id_col)}").alias("doc_id"), "__domain", "__lang", "__source", "__id", "__tokens"))
     x = _planned(rows, rows, seed, weights, budget_pct, max_epochs)
     x = x.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), "__copies")
     return x.select("doc_id", "domain", "lang", "source", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__copies") - 1)).alias("epoch"))
@@ -119,7 +124,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     compact = _util.cut(_described(docs, id_col, text_col, domain).select("__domain", "__lang", "__source", "__id", "__tokens"))
     x = _planned(_described(docs, id_col, text_col, domain), compact, seed, weights, budget_pct, max_epochs)
-    return x.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__epoch")).drop("__epoch")
+    copies = x.select(*[f"__c{i}" for i in range(len(names))], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))).alias("__epoch"))
+    return copies.drop("__epoch").toDF(*names)
 
 
 def _cases(weights: dict[str, int], name: str) -> str:
