@@ -2,28 +2,34 @@
 
 A page is read into blocks of text, each under a path of elements (tag and
 class). The pages of one host are merged into a style tree: for each path how
-many pages have it, in which styles its children come (presentation), and on
-how many pages each block below it stands (content). A node's presentation
-importance is the entropy of its children's styles, to the base of the number
-of pages; a block's content importance is one less the entropy of its spread
-over pages, so text that stands on every page has none. A node's importance
-weighs both by depth. On paths of at least ``MIN_PAGES`` pages, a branch all of
-whose nodes are below ``LEAST`` is removed from each page of the host, and so
-is a block whose own content importance is, whatever stands beside it. The tree
-holds all nodes, those of the lists below too, which are applied after it. The
-host's verdict never empties a page: where all its blocks would go, they stay.
-
+many pages have it, in which styles its children come (presentation: the row of
+their tags and classes, where equal neighbours count once), and on how many
+pages each block below it stands (content; blocks whose letters all belong to
+links are one feature, whatever they say). A node's presentation importance is
+the entropy of its children's styles, to the base of the number of pages; a
+block's content importance is one less the entropy of its spread over pages, so
+what stands on every page has none. A node's importance weighs both by depth.
+On paths of at least ``MIN_PAGES`` pages, a branch all of whose nodes are below
+``LEAST`` is removed from each page of the host, and so is a block of text whose
+own content importance is, whatever stands beside it. The tree holds all nodes,
+those of the lists below too, and its verdict comes first. It never empties a
+page: where all blocks would go, they stay.
+
+What the tree can't tell, as where each page has other words in its footer or
+advert, or a host has few pages, is left to marks that hold on every page.
 Elements that by their tag, role or class are menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts or styles are removed on
-every page, and where a page marks an article or main part, text outside of it
+sidebars, notices, adverts, forms, comments, scripts or styles are removed,
+and where a page marks an article or main part, text outside of it
 is removed. Words of class or id that tell a state (has-sidebar, no-ads) don't
 count, nor do any on a main part, on an element around it, or, where all
 articles stand in elements of such words, on those around the least enclosed.
 
 Edge cases: null and empty pages give an empty text. Pages without a host in
 their url are judged by their own marks only. Repeated pages count as often as
-they stand. Unclosed tags, comments and scripts end with the page. An empty
-table gives an empty result.
+they stand. Elements below a depth of ``DEEP`` have the path of the one at that
+depth around them; their text is read like any other, and a page of any length
+is read whole. Unclosed tags, comments and scripts end with the page. Other
+columns of the input don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ import hashlib
 import html as _html
 import re
 import zlib
+from collections.abc import Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,8 +49,13 @@ from . import _util
 LEAST = 0.1
 MIN_PAGES = 4
 GAMMA = 0.9
-#: Most hosts whose removed branches are sent to every executor; more join by a shuffle.
-BROADCAST_HOSTS = 50_000
+#: Depth below which elements have no paths of their own.
+DEEP = 64
+#: Most marks, and bytes of their hosts' names, that are sent to every executor; more join by a shuffle, with the same result.
+BROADCAST_MARKS, BROADCAST_BYTES = 500_000, 8 << 20
+
+#: The feature of blocks that are links from end to end.
+LINKS = 0
 
 #: Elements without an end, elements of raw text, elements that break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -87,25 +99,28 @@ def _line(parts) -> str:
 class Node:
     """named: the node itself and those around it that only words of class or id mark as noise, by number."""
 
-    __slots__ = ("depth", "kids", "main", "named", "noise", "path", "tag")
+    __slots__ = ("depth", "kids", "last", "link", "main", "named", "noise", "path", "tag")
 
-    def __init__(self, tag: str, path: int, depth: int, noise: bool, main: bool, named: frozenset[int] = frozenset()):
-        self.tag, self.path, self.depth, self.noise, self.main, self.named = tag, path, depth, noise, main, named
-        self.kids = 0
+    def __init__(self, tag: str, path: int, depth: int, noise: bool, main: bool, named: frozenset[int] = frozenset(), link: bool = False):
+        self.tag, self.path, self.depth, self.noise, self.main, self.named, self.link = tag, path, depth, noise, main, named, link
+        self.kids, self.last = 0, ""
 
 
 class Page:
     """blocks: (text, path hashes from the root, whether inside a main part); styles: (path, hash of children's styles)."""
 
     def __init__(self, html: str | None):
-        self.blocks: list[tuple[str, tuple[int, ...], bool]] = []
-        #: All blocks with the paths around them, those that the lists remove too.
+        #: (text, paths around it, whether inside a main part, feature)
+        self.blocks: list[tuple[str, tuple[int, ...], bool, int]] = []
+        #: All blocks with the paths around them, those that the lists remove too; and their features.
         self.all: list[tuple[str, tuple[int, ...]]] = []
+        self.features: list[int] = []
         self.styles: list[tuple[int, int]] = []
-        self._parts: list[tuple[str, frozenset[int]]] = []
-        self._dark: list[str] = []
+        self._parts: list[tuple[str, frozenset[int], bool]] = []
+        self._dark: list[tuple[str, bool]] = []
         self._stack = [Node("", 1, 0, False, False)]
-        self._pieces: list[list[tuple[str, frozenset[int]]]] = []
+        self._open_tags: dict[str, int] = {}
+        self._pieces: list[list[tuple[str, frozenset[int], bool]]] = []
         self._count = 0
         self._mains: list[frozenset[int]] = []
         self._articles: list[frozenset[int]] = []
@@ -119,46 +134,54 @@ class Page:
         least = min(map(len, parts), default=0)
         clear = clear.union(*(x for x in parts if len(x) == least))
         kept = []
-        for (text, paths, main), pieces in zip(self.blocks, self._pieces):
-            if any(x for _, x in pieces):
-                gone = _line(t for t, x in pieces if not x <= clear)
-                text = _line(t for t, x in pieces if x <= clear)
-                if gone:
-                    self.all.append((gone, paths))
-            if text:
-                kept.append((text, paths, main))
-                self.all.append((text, paths))
+        for (_, paths, main, _), pieces in zip(self.blocks, self._pieces):
+            gone = [x for x in pieces if not x[1] <= clear] if any(x[1] for x in pieces) else []
+            if gone:
+                pieces = [x for x in pieces if x[1] <= clear]
+                if text := _line(x[0] for x in gone):
+                    self._note(text, paths, _feature(text, gone))
+            if text := _line(x[0] for x in pieces):
+                kept.append((text, paths, main, _feature(text, pieces)))
+                self._note(text, paths, kept[-1][3])
         self.blocks = kept
 
+    def _note(self, text: str, paths: tuple[int, ...], feature: int) -> None:
+        self.all.append((text, paths))
+        self.features.append(feature)
+
+    def _paths(self) -> tuple[int, ...]:
+        return tuple(n.path for n in self._stack[1 : DEEP + 1])
+
     def _flush(self) -> None:
         self._flush_dark()
         if self._parts:
             pieces, self._parts = self._parts, []
-            text = _line(t for t, _ in pieces)
             top = self._stack[-1]
-            if text and not top.noise:
-                self.blocks.append((text, tuple(n.path for n in self._stack[1:]), top.main))
+            if not top.noise and any(not x[0].isspace() for x in pieces):
+                self.blocks.append(("", self._paths(), top.main, LINKS))
                 self._pieces.append(pieces)
 
     def _flush_dark(self) -> None:
         """Text that the lists remove, for the tree only."""
         if self._dark:
-            text, self._dark = _line(self._dark), []
-            if text:
-                self.all.append((text, tuple(n.path for n in self._stack[1:])))
+            pieces, self._dark = self._dark, []
+            if text := _line(x[0] for x in pieces):
+                self._note(text, self._paths(), _feature(text, pieces))
 
     def _text(self, raw: str) -> None:
         if raw:
             top, raw = self._stack[-1], _html.unescape(raw) if "&" in raw else raw
             if top.noise:
-                self._dark.append(raw)
+                self._dark.append((raw, top.link))
             else:
-                self._parts.append((raw, top.named))
+                self._parts.append((raw, top.named, top.link))
 
     def _pop(self) -> None:
         if len(self._stack) > 1 and self._stack[-1].noise != self._stack[-2].noise:
             self._flush_dark()
         node = self._stack.pop()
+        if node.tag:
+            self._open_tags[node.tag] -= 1
         if node.kids:
             self.styles.append((node.path, node.kids))
 
@@ -205,9 +228,11 @@ class Page:
             named = named | {self._count}
         if inside and not noise:
             (self._mains if "main" in (tag, role) else self._articles).append(named)
-        path = _step(top.path, label)
-        top.kids = _step(top.kids or 7, label)
-        self._stack.append(Node(tag, path, top.depth + 1, noise, top.main or (inside and not noise), named))
+        path = _step(top.path, label) if top.depth < DEEP else top.path
+        if top.last != label:
+            top.kids, top.last = _step(top.kids or 7, label), label
+        self._stack.append(Node(tag, path, top.depth + 1, noise, top.main or (inside and not noise), named, top.link or tag == "a"))
+        self._open_tags[tag] = self._open_tags.get(tag, 0) + 1
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -224,7 +249,7 @@ class Page:
             if m[1] or m[4]:
                 if tag in BLOCK:
                     self._flush()
-                if tag not in VOID and any(x.tag == tag for x in self._stack):
+                if tag not in VOID and self._open_tags.get(tag):
                     self._close((tag,), () if tag in _FENCES or tag == "html" else _FENCES)
                 continue
             if tag in BLOCK:
@@ -241,17 +266,20 @@ class Page:
         while self._stack:
             self._pop()
 
-    def text(self, removed: frozenset[int] = frozenset(), repeated: frozenset[tuple[int, int]] = frozenset()) -> str:
+    def text(self, removed: Set[int] = frozenset(), repeated: Set[tuple[int, int]] = frozenset()) -> str:
         """removed: paths whose own blocks go; repeated: path and feature of single blocks that go."""
         blocks = self.blocks
         if any(b[2] for b in blocks):
             blocks = [b for b in blocks if b[2]]
         if removed or repeated:
-            blocks = [b for b in blocks if not b[1] or (b[1][-1] not in removed and (not repeated or (b[1][-1], _feature(b[0])) not in repeated))] or blocks
+            blocks = [b for b in blocks if not b[1] or (b[1][-1] not in removed and (b[1][-1], b[3]) not in repeated)] or blocks
         return "\n".join(b[0] for b in blocks)
 
 
-def _feature(text: str) -> int:
+def _feature(text: str, pieces) -> int:
+    """Of a block's text and its pieces, the last item of which tells whether it is a link."""
+    if all(x[-1] or x[0].isspace() for x in pieces):
+        return LINKS
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
@@ -265,9 +293,8 @@ def _observe(batches):
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             page = Page(html)
             seen: set[tuple[int, int, int, int, int]] = set()
-            own = {(paths[-1], _feature(text)) for text, paths in page.all if paths}
-            for text, paths in page.all:
-                f = _feature(text)
+            own = {(paths[-1], f) for f, (_, paths) in zip(page.features, page.all) if paths}
+            for f, (_, paths) in zip(page.features, page.all):
                 for depth, p in enumerate(paths, 1):
                     seen.add((p, _PAGES, 0, depth, 0))
                     seen.add((p, _CONTENT, f, depth, int((p, f) in own)))
@@ -323,17 +350,31 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     nodes = _importance(counts).where(F.col("n_pages") >= min_pages).select("host", "path", "n_pages", "importance")
     # a removed branch is one without a node that counts, so its blocks go by their own nodes; a block that stands on n of m pages has an importance of 1 - log_m(n)
     paths = nodes.where(F.col("importance") < least).select("host", "path", F.lit(None).cast("bigint").alias("feature"))
-    often = counts.where((F.col("kind") == _CONTENT) & (F.col("own") == 1) & (F.col("n") >= 2)).select("host", "path", "feature", "n").join(nodes.where(F.col("importance") >= least), ["host", "path"])
+    often = counts.where((F.col("kind") == _CONTENT) & (F.col("own") == 1) & (F.col("feature") != LINKS) & (F.col("n") >= 2)).select("host", "path", "feature", "n").join(nodes.where(F.col("importance") >= least), ["host", "path"])
     often = often.where((F.col("n_pages") > 1) & (1 - F.log("n") / F.log("n_pages") < least)).select("host", "path", "feature")
-    low = _util.cut(paths.unionAll(often).groupBy("host").agg(F.collect_set(F.when(F.col("feature").isNull(), F.col("path"))).alias("low"), F.collect_set(F.when(F.col("feature").isNotNull(), F.struct("path", "feature"))).alias("often")))
-    if low.count() <= BROADCAST_HOSTS:
-        low = F.broadcast(low)
-    rows = named.join(low, "host", "left").select("page_id", "url", "html", "low", "often")
+    marks = _util.cut(paths.unionAll(often))
+    many, wide = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("host")), F.lit(0))).first()
     kind = pages.schema[id_col].dataType.simpleString()
+    rows = named.select("page_id", "url", "html", "host")
+    sent = None
+    if many <= BROADCAST_MARKS and wide <= BROADCAST_BYTES:
+        known: dict[str, tuple[set[int], set[tuple[int, int]]]] = {}
+        for host, path, feature in zip(*(c.to_pylist() for c in marks.toArrow().columns)):
+            removed, repeated = known.setdefault(host, (set(), set()))
+            removed.add(path) if feature is None else repeated.add((path, feature))
+        sent = spark.sparkContext.broadcast(known)
+    else:
+        by_host = marks.groupBy("host").agg(F.collect_set(F.when(F.col("feature").isNull(), F.col("path"))).alias("low"), F.collect_set(F.when(F.col("feature").isNotNull(), F.struct("path", "feature"))).alias("often"))
+        rows = rows.join(by_host, "host", "left")
 
     def run(batches):
+        none: tuple[set, set] = (set(), set())
         for batch in _util.steps(batches, "html"):
-            texts = [Page(h).text(frozenset(x or ()), frozenset((e["path"], e["feature"]) for e in y or ())) for h, x, y in zip(*(batch.column(c).to_pylist() for c in ("html", "low", "often")))]
+            pages_ = [Page(h) for h in batch.column("html").to_pylist()]
+            if sent is not None:
+                texts = [p.text(*sent.value.get(h, none)) for p, h in zip(pages_, batch.column("host").to_pylist())]
+            else:
+                texts = [p.text(set(x or ()), {(e["path"], e["feature"]) for e in y or ()}) for p, x, y in zip(pages_, batch.column("low").to_pylist(), batch.column("often").to_pylist())]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
