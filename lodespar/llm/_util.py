@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodespar.shipping import ship  # noqa: F401
 
 #: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -20,22 +22,6 @@ STEP_BYTES = 1 << 20
 #: Rows of numbers that one file of a table with a known bound takes.
 ROWS_PER_FILE = 400_000
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    archive = os.path.join(tempfile.mkdtemp(), f"{root.name}_src.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process, as in tests."""
@@ -83,6 +69,31 @@ def steady(df: DataFrame) -> DataFrame:
     return cut(df) if _UNSTEADY.search(df._jdf.queryExecution().executedPlan().toString()) else df
 
 
+def sample_texts(docs: DataFrame, picked: DataFrame, by: str, most_bytes: int) -> DataFrame:
+    """The texts of picked documents, for a fit on a bounded sample.
+
+    docs: doc_id, text. picked: doc_id, by, h and others; a bounded number of
+    rows, no two of one id. Of several texts with one id the longest counts. Of
+    each value of by those are kept whose texts, in the order of h, have
+    most_bytes or less together.
+    """
+    names = picked.columns
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").withColumn("size", F.octet_length("text"))
+    texts = cut(texts.groupBy(*names).agg(F.max_by("text", F.struct("size", "text")).alias("text"), F.max("size").alias("size")))
+    upto = F.sum("size").over(Window.partitionBy(by).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = texts.select("doc_id", upto.alias("upto")).where(F.col("upto") <= most_bytes).select("doc_id")
+    return texts.join(F.broadcast(fits), "doc_id").select(*names, "text")
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back to the system, for idle workers stay beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have none
+        pass
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices of about most bytes of the given text column; a null text counts as empty."""
     for batch in batches:
@@ -101,3 +112,4 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_BYTES
                 start, total = i, 0
             total += int(n)
         yield batch.slice(start)
+    trim()

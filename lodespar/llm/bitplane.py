@@ -10,11 +10,13 @@ flags and lengths, compressed; the index; 24 bytes with the index's place, its
 length and MAGIC. The index is JSON: plane kind, block size, ids in all, and
 per block the place, the number of ids and the compressed length of each plane.
 
-write_shards() sorts a table by document id over range partitions and writes
-one file per partition to the shared folder; a task writes to a name of its own
+write_shards() sorts a table by document id over range partitions of about
+``SHARD_BYTES`` and writes one file per partition to the shared folder; a task writes to a name of its own
 and renames at the end, so lost or repeated tasks leave no half file.
 
-Edge cases: null and empty texts have only the end id. Null document ids come
+Edge cases: null and empty texts have only the end id. A text of any length is
+encoded whole; one with a space between other white space goes to the library
+as it is, all others by their words. Other columns of the input don't matter. Null document ids come
 first. Rows with the same id stand next to each other, ordered by a hash of
 their text. An empty table gives no file and an empty result.
 """
@@ -24,7 +26,6 @@ from __future__ import annotations
 import io
 import json
 import os
-import re
 import uuid
 import zlib
 
@@ -42,6 +43,10 @@ MAGIC = b"LPLANES1"
 BLOCK = 1 << 16
 END_ID = 2
 LEVEL = 3
+#: Bytes of input for a file, about.
+SHARD_BYTES = 128 << 20
+#: Bytes of text that are encoded at once: the more, the fewer times a word is looked up.
+STEP_BYTES = 4 << 20
 
 
 def planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
@@ -147,7 +152,6 @@ class Reader:
 #: White space, for RE2; and a space at which a text can't be cut for a byte-level vocabulary: white space before it, and white space or the end after it.
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TIED = f"{_WS} (?:{_WS}|\\z)"
-_PLAIN = re.compile(r" [^\s](?:.*[^\s])?", re.S)
 
 
 class Encoder:
@@ -170,21 +174,26 @@ class Encoder:
         self.stretches = _stretch.Stretches(self._solve, self._whole, _TIED, True, limit)
 
     def _solve(self, words: list[str]) -> list[bytes]:
-        """Plain words behind a space go to the library as one text: just their first tokens begin with a space."""
+        """Plain words go to the library behind a space each, as one text: just their first tokens begin with a space."""
+        texts = [w[1:] if w[:1] == " " else " " + w for w in words]  # the first stretch of a text comes behind a space and has none
         out: dict[str, bytes] = {}
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        plain = [w for w in texts if len(w) > 1 and w[0] == " " and w[1:].strip() == w[1:]]  # no white space at either end behind the space
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self._ids("".join(part)), "<u4")
             at = np.flatnonzero(self.opens[ids])
             if len(at) != len(part) or at[0]:
                 raise ValueError("tokens pass a space")
             raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
             out.update(zip(part, [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]))
-        return [out[w] if w in out else self._whole(w) for w in words]
+        return [out[w] if w in out else self._whole(w) for w in texts]
+
+    def _ids(self, text: str) -> list[int]:
+        """By the library's form that keeps no places in the text."""
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._ids(text), "<u4").tobytes()
 
     def many(self, col: pa.Array) -> list[np.ndarray]:
         return self.stretches.encode(col)
@@ -200,11 +209,19 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _shards(docs: DataFrame) -> int:
+    """One for each SHARD_BYTES by the plan's own estimate of its size, and as many as there are shuffle partitions at least."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # rows without files have no estimate
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES) if known else 1)
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, kind: str = "byte", shards: int | None = None) -> DataFrame:
     """Writes all texts' ids in ascending order of id_col, one file per range of ids. Returns per file: shard, path, n_docs, n_ids."""
     spark = docs.sparkSession
     _util.ship(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or _shards(docs)
     # random placement inside a run of equal ids can't matter: equal ids fall into one range
     ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     end = np.array([end_id], "<u4")
@@ -213,7 +230,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         encoder, writer, sink, shard = None, None, None, TaskContext.get().partitionId()
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         part = f"{root}/.part-{shard}-{uuid.uuid4().hex}"
-        for batch in _util.steps(batches, "text"):
+        for batch in _util.steps(batches, "text", STEP_BYTES):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(part)
@@ -235,8 +252,8 @@ def read_documents(manifest: DataFrame, folder: str, digest: bool = True) -> Dat
     spark = manifest.sparkSession
     _util.ship(spark)
     before = F.coalesce(F.sum("n_ids").over(Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row per file: bounded by the number of partitions
-    files = manifest.withColumn("before", before).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    # one row per file, and about one file per task
+    files = manifest.withColumn("before", before).repartitionByRange(max(manifest.count(), 1), "shard")
 
     def read(batches):
         for batch in batches:
