@@ -15,14 +15,19 @@ Pieces never hold a marker after another character, so a text is cut before
 runs of markers and each distinct stretch is solved once, many stretches at a
 time; long ones are solved alone.
 
-Edge cases: null and empty texts have no piece and decode to "". A text's own
-marker characters count as spaces. Rows repeat as given.
+Where two ways to cut a stretch score the same, that with the earlier beginning
+of its last piece stays. Edge cases: null and empty texts have no piece and
+decode to "". A text's own marker characters count as spaces. A text of any
+length is encoded whole, some stretches at a time. Rows repeat as given. Other
+columns don't matter to encode(); decode() keeps them, and a column of the name
+that it is told to give is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,8 @@ MARK = "▁"
 _MARK = MARK.encode()
 #: Stretches of more bytes are solved one by one.
 LONG = 96
+#: Stretches that a worker keeps from task to task, and that are solved at once.
+KEPT, AT_ONCE = 120_000, 20_000
 
 
 class DoubleArray:
@@ -120,8 +127,8 @@ class Model:
         n = len(raw)
         best = np.full(n + 1, -np.inf, np.float32)
         best[0] = 0
-        back = np.zeros(n + 1, np.int64)
-        piece = np.full(n + 1, -1, np.int64)
+        back = np.zeros(n + 1, np.int32)
+        piece = np.full(n + 1, -1, np.int32)
         for s in range(n):
             if (raw[s] & 0xC0) == 0x80 and not np.isfinite(best[s]):
                 continue
@@ -243,19 +250,25 @@ _RUNS = re.compile(r" +[^ ]*")
 class Encoder:
     """Encodes whole texts; each stretch stands for itself with a marker before it, and texts with runs of spaces are cut apart."""
 
-    def __init__(self, model: Model, limit: int = _stretch.LIMIT):
+    def __init__(self, model: Model, limit: int = KEPT):
         self.model = model
         self.stretches = _stretch.Stretches(self._solve, self._whole, f"^ |  |{MARK}", False, limit)
 
     def _solve(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(words), 20_000):
-            out += [np.array(x, np.uint32).tobytes() for x in self.model.solve([_MARK + w.encode() for w in words[i : i + 20_000]])]
+        for i in range(0, len(words), AT_ONCE):
+            out += [np.array(x, np.uint32).tobytes() for x in self.model.solve([_MARK + w.encode() for w in words[i : i + AT_ONCE]])]
         return out
 
     def _whole(self, text: str) -> bytes:
-        runs = _RUNS.findall(" " + text.replace(MARK, " "))
-        return b"".join(np.array(x, np.uint32).tobytes() for x in self.model.solve([r.replace(" ", MARK).encode() for r in runs]))
+        """A text with runs of spaces, AT_ONCE stretches at a time, so that its length needs no memory but for its ids."""
+        runs = (m[0] for m in _RUNS.finditer(" " + text.replace(MARK, " ")))
+        out = []
+        while part := list(islice(runs, AT_ONCE)):
+            kinds = {r: i for i, r in enumerate(dict.fromkeys(part))}
+            ids = [np.array(x, np.uint32).tobytes() for x in self.model.solve([r.replace(" ", MARK).encode() for r in kinds])]
+            out.append(b"".join([ids[kinds[r]] for r in part]))
+        return b"".join(out)
 
     def many(self, col: pa.Array) -> list[np.ndarray]:
         """Per text its ids; an empty text has none."""
