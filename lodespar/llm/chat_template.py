@@ -15,8 +15,10 @@ filters ``e|f(x)``. Text inside generation marks is what a model learns from.
 
 Edge cases: null texts and roles are empty. Rows of a conversation are ordered
 by turn (nulls first), then role, then text. Rows without a conversation id
-form one conversation with a null id. Repeated rows are turns of their own. An
-empty table gives an empty result.
+form one conversation with a null id. Repeated rows are turns of their own.
+Texts of any length are formatted whole. A conversation's formatted text is one
+value of one row, so one conversation has to fit a task's memory. Other columns
+of the input don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -523,14 +525,16 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, id_col: str
     def run(batches):
         now, messages, started = None, [], False
         done: list[tuple] = []
+        size = 0
         for batch in batches:
             for c, r, t in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text"))):
                 if started and c != now:
                     done.append((now, *compiled.render(messages=messages)))
                     messages = []
-                    if len(done) >= 500:
+                    size += len(done[-1][1])
+                    if len(done) >= 500 or size > _util.STEP_BYTES:
                         yield _formatted(done)
-                        done = []
+                        done, size = [], 0
                 now, started = c, True
                 messages.append({"role": r, "text": t})
         if started:
@@ -550,7 +554,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     _util.ship(formatted.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in _util.steps(batches, "formatted"):
             rows = []
             for c, text, spans in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "formatted", "spans"))):
                 n, h = 0, hashlib.sha256()
