@@ -147,11 +147,7 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     each = max(1, min(max_rows, MAX_ALL // max(grades, 1)))
     first = Window.partitionBy("grade").orderBy("h", "doc_id")
     picked = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).drop("n")
-    # a bounded number of rows meets all documents
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").withColumn("size", F.octet_length("text"))
-    texts = _util.cut(texts.groupBy("doc_id", "grade", "h").agg(F.max_by("text", F.struct("size", "text")).alias("text"), F.max("size").alias("size")), 2 * MAX_ALL)
-    fits = texts.select("doc_id", "grade", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0)).alias("upto")).where(F.col("upto") <= MAX_BYTES)
-    sample = texts.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "grade", "text").toArrow().sort_by([("doc_id", "ascending")])
+    sample = _util.sample_texts(docs, picked, "grade", MAX_BYTES).select("doc_id", "grade", "text").toArrow().sort_by([("doc_id", "ascending")])
     return fit_rows(pa.chunked_array(sample.column("text").chunks, sample.schema.field("text").type).combine_chunks(), sample.column("grade").to_numpy())
 
 
