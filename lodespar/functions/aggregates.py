@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodespar.shipping import arrow_column
+
 FUNCTIONS: dict[str, Callable[..., Column]] = {}
 
 
@@ -41,8 +45,14 @@ def approx_distinct(x, e: float | None = None) -> Column:
 
 
 @fn
-def approx_percentile(x, p, accuracy: int = 10_000) -> Column:
-    return F.percentile_approx(x, p, accuracy)
+def approx_percentile(x, p, accuracy: int = 10_000, weight=None) -> Column:
+    """weight: a column of whole weights; a value of weight 0 doesn't count. Of weights the percentile is exact, from the sums by distinct value."""
+    if weight is None:
+        return F.percentile_approx(x, p, accuracy)
+    w = F.when(_c(weight) >= 0, _c(weight)).otherwise(F.raise_error(F.lit("weights must not be negative")).cast("bigint"))
+    share = p if isinstance(p, (list, tuple)) else [p]
+    at = F.call_function("percentile", _c(x), F.array(*[F.lit(float(q)) for q in share]), w.cast("bigint"))
+    return at if isinstance(p, (list, tuple)) else F.get(at, F.lit(0))
 
 
 @fn
@@ -85,11 +95,65 @@ def set_union(a) -> Column:
     return F.array_distinct(F.flatten(F.collect_list(a)))
 
 
+#: The primes of 64-bit XXHash that a checksum is made of.
+PRIME_1, PRIME_2 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
+
+
+def _hashes(col: pa.Array) -> np.ndarray:
+    """64-bit hashes of the values: one round for numbers, the whole hash for bytes; 0 for null."""
+    u = np.uint64
+    kind, null = col.type, col.is_null().to_numpy(zero_copy_only=False)
+
+    def rounds(v: np.ndarray) -> np.ndarray:
+        x = v.astype(np.int64).view(u) * u(PRIME_2)
+        return ((x << u(31)) | (x >> u(33))) * u(PRIME_1)
+
+    if pa.types.is_boolean(kind):
+        out = np.where(col.fill_null(False).to_numpy(zero_copy_only=False), u(1231), u(1237))
+    elif pa.types.is_floating(kind):
+        f = col.fill_null(0).to_numpy(zero_copy_only=False) + 0.0  # -0.0 counts as 0
+        f = np.where(np.isnan(f), np.array(np.nan, f.dtype), f)
+        out = rounds(f.view(np.int32 if f.dtype == np.float32 else np.int64))
+    elif pa.types.is_list(kind):
+        sizes = np.where(null, 0, np.asarray(col.value_lengths().fill_null(0))).astype(np.int64)
+        inner = _hashes(col.flatten())
+        out = np.zeros(len(col), u)
+        ends = np.cumsum(sizes)
+        for k in range(int(sizes.max(initial=0))):
+            on = sizes > k
+            out[on] = out[on] * u(31) + inner[(ends - sizes)[on] + k]
+    elif pa.types.is_integer(kind) or pa.types.is_date(kind):
+        out = rounds((col.cast(pa.int32()) if pa.types.is_date(kind) else col).fill_null(0).to_numpy(zero_copy_only=False))
+    elif pa.types.is_timestamp(kind):
+        out = rounds(col.cast(pa.timestamp("ms", kind.tz), safe=False).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
+    else:
+        import xxhash
+
+        raw = col.cast(pa.binary()).to_pylist()
+        out = np.array([xxhash.xxh64_intdigest(v or b"") for v in raw], u)
+    return np.where(null, u(0), out)
+
+
+def _checksum_parts(col: pa.Array) -> pa.Array:
+    x = _hashes(col) * np.uint64(PRIME_1)
+    x[col.is_null().to_numpy(zero_copy_only=False)] = np.uint64(PRIME_1)
+    return pa.array(x.view(np.int64))
+
+
 @fn
 def checksum(x) -> Column:
-    """A hash of the values that doesn't depend on their order, as bytes."""
-    h = F.coalesce(F.xxhash64(_c(x)), F.lit(0))
-    return F.unhex(F.lpad(F.hex(F.sum(F.pmod(h, F.lit(1 << 40))).cast("bigint").bitwiseXOR(F.bit_xor(h))), 16, "0"))
+    """A hash of the values that doesn't depend on their order, as 8 bytes; null for no row. Halves are summed apart, so no number of rows overflows."""
+    part = arrow_column(_checksum_parts, "bigint")(_c(x))
+    low = F.sum(part.bitwiseAND(0xFFFFFFFF).cast("decimal(20,0)"))
+    high = F.sum(F.shiftrightunsigned(part, 32).cast("decimal(20,0)"))
+    carry = F.floor(low / F.lit(1 << 32).cast("decimal(20,0)")).cast("decimal(38,0)")
+    half = lambda d: F.lpad(F.hex((d % F.lit(1 << 32).cast("decimal(20,0)")).cast("bigint")), 8, "0")
+    return _little(F.concat(half(high + carry), half(low)))
+
+
+def _little(h: Column) -> Column:
+    """Hex digits of 8 bytes, the highest first, as bytes, the lowest first."""
+    return F.unhex(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(7, -1, -1)]))
 
 
 @fn
@@ -134,42 +198,62 @@ def max_(x, n: int | None = None) -> Column:
     return F.max(x) if n is None else F.slice(F.sort_array(F.collect_list(x), asc=False), 1, n)
 
 
-def _first_of_keys(rows: Column) -> Column:
-    """Entries k, v with the first of each key, which is not null."""
-    keys = F.array_distinct(F.transform(F.filter(rows, lambda e: e["k"].isNotNull()), lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(rows, lambda e: e["k"] == k), F.lit(0))["v"]))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f and the functions inside it read it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(rows: Column) -> Column:
+    """Of structs sorted by their field k: (k, at, n) of each run of equal values that aren't null, at counted from 1."""
+    begins = lambda i: F.when(i == 0, True).otherwise(~F.get(rows, i)["k"].eqNullSafe(F.get(rows, i - 1)["k"]))
+    heads = F.filter(F.transform(rows, lambda e, i: F.struct(e["k"].alias("k"), (i + 1).alias("at"), begins(i).alias("new"))), lambda s: s["new"] & s["k"].isNotNull())
+    # nulls come first, so the last run ends with the array
+    return _let(heads, lambda h: F.transform(h, lambda s, i: F.struct(s["k"].alias("k"), s["at"].alias("at"), (F.coalesce(F.get(h, i + 1)["at"], F.size(rows) + 1) - s["at"]).alias("n"))))
+
+
+def _by_key(entries: Column, value: Callable[[Column, Column], Column]) -> Column:
+    """A map from each key of entries (k, v) to a value of all entries and the key's run; sorted once, whatever the number of keys. Entries of a key keep their order."""
+    rows = F.sort_array(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))))
+    return _let(rows, lambda x: _let(_runs(x), lambda r: F.map_from_arrays(F.transform(r, lambda s: s["k"]), F.transform(r, lambda s: value(x, s)))))
+
+
+def _pairs(k, v) -> Column:
+    return F.collect_list(F.struct(_c(k).alias("k"), _c(v).alias("v")))
+
+
+def _entries(m) -> Column:
+    return F.transform(F.flatten(F.collect_list(F.map_entries(m))), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+
+
+def _first(x: Column, run: Column) -> Column:
+    return F.get(x, run["at"] - 1)["v"]
 
 
 @fn
 def map_agg(k, v) -> Column:
-    return _first_of_keys(F.collect_list(F.struct(_c(k).alias("k"), _c(v).alias("v"))))
+    """The first value of each key that isn't null."""
+    return _by_key(_pairs(k, v), _first)
 
 
 @fn
 def multimap_agg(k, v) -> Column:
-    rows = F.collect_list(F.struct(_c(k).alias("k"), _c(v).alias("v")))
-    keys = F.array_distinct(F.transform(F.filter(rows, lambda e: e["k"].isNotNull()), lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(rows, lambda e: e["k"] == k), lambda e: e["v"])))
+    return _by_key(_pairs(k, v), lambda x, run: F.transform(F.slice(x, run["at"], run["n"]), lambda e: e["v"]))
 
 
 @fn
 def map_union(m) -> Column:
-    return _first_of_keys(F.transform(F.flatten(F.collect_list(F.map_entries(m))), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
+    return _by_key(_entries(m), _first)
 
 
 @fn
 def histogram(x) -> Column:
     """Values to counts; for large groups use histograms()."""
-    all_ = F.collect_list(x)
-    keys = F.array_distinct(all_)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(all_, lambda y: y == k)).cast("bigint")))
+    return _by_key(_pairs(x, F.lit(0)), lambda x, run: run["n"].cast("bigint"))
 
 
 @fn
 def map_union_sum(m) -> Column:
-    e = F.flatten(F.collect_list(F.map_entries(m)))
-    keys = F.array_distinct(F.transform(e, lambda x: x["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.aggregate(F.filter(e, lambda x: x["key"] == k), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x["value"], F.lit(0)))))
+    return _by_key(_entries(m), lambda x, run: F.aggregate(F.slice(x, run["at"], run["n"]), F.lit(0).cast("bigint"), lambda s, e: s + F.coalesce(e["v"], F.lit(0))))
 
 
 @fn

@@ -41,11 +41,11 @@ SAME = {
         "array_join", "array_union", "array_distinct", "array_except", "arrays_overlap", "zip_with", "shuffle", "array_sort", "sequence", "crc32", "lpad", "rpad", "year", "quarter", "month",
         "hour", "minute", "second", "current_date", "transform", "filter", "map_filter", "transform_keys", "transform_values", "map_entries", "map_from_entries", "map_keys", "map_values",
         "map_zip_with", "abs", "radians", "degrees", "power", "pow", "exp", "sqrt", "cbrt", "pi", "e", "cos", "cosh", "acos", "sin", "asin", "tan", "tanh", "atan", "atan2", "lower", "upper", "reverse",
-        "url_encode", "url_decode", "uuid", "json_array_length", "length", "levenshtein", "date_trunc", "trim", "ltrim", "rtrim", "slice",
+        "url_encode", "url_decode", "uuid", "json_array_length", "length", "levenshtein", "slice",
     )},
     "remove_nulls": "array_compact", "all_match": "forall", "any_match": "exists", "zip": "arrays_zip", "repeat": "array_repeat", "bitwise_not": "bitwise_not", "date": "to_date", "week": "weekofyear",
     "week_of_year": "weekofyear", "day": "dayofmonth", "day_of_month": "dayofmonth", "doy": "dayofyear", "day_of_year": "dayofyear", "last_day_of_month": "last_day", "reduce": "aggregate",
-    "map_key_exists": "map_contains_key", "negate": "negative", "sign": "signum", "is_nan": "isnan", "rand": "rand", "random": "rand", "secure_rand": "rand", "secure_random": "rand",
+    "map_key_exists": "map_contains_key", "negate": "negative", "is_nan": "isnan",
     "levenshtein_distance": "levenshtein", "starts_with": "startswith", "ends_with": "endswith", "to_hex": "hex", "from_hex": "unhex", "codepoint": "ascii", "regexp_split": "split",
     "json_parse": "parse_json", "from_iso8601_date": "to_date", "localtime": "current_time", "bitwise_right_shift_arithmetic": "shiftright", "array_constructor": "array", "map": "map_from_arrays",
     "fail": "raise_error", "arrays_union": "array_union",
@@ -416,6 +416,24 @@ FUNCTIONS["regexp_like"] = lambda s, p: _c(s).rlike(p)
 FUNCTIONS["typeof"] = lambda x: F.typeof(x)
 
 
+@fn(None, "rand", "secure_rand", "secure_random")
+def random(low=None, high=None) -> Column:
+    """A number from 0 to 1, or a whole one below a bound, or from a first to below a second one."""
+    if low is None:
+        return F.rand()
+    a, b = (F.lit(0), _l(low)) if high is None else (_l(low), _l(high))
+    bad = F.raise_error(F.lit("the upper bound must be above the lower one")).cast("bigint")
+    return F.when(b > a, a + F.floor(F.rand() * (b - a))).otherwise(bad)
+
+
+@fn
+def sign(x) -> Column:
+    """In the type of x."""
+    x = _c(x)
+    zero = x - x
+    return F.when(x > 0, zero + F.lit(1).cast("tinyint")).when(x < 0, zero - F.lit(1).cast("tinyint")).otherwise(x)
+
+
 @fn
 def divide(a, b) -> Column:
     """Integers divide to integers towards 0, an error for 0; else as doubles do, with infinities."""
@@ -546,7 +564,7 @@ def l2_squared(a, b) -> Column:
     return _same_size(a, b, F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-@fn
+@fn(None, "parse_presto_data_size")
 def parse_data_size(s) -> Column:
     """Text like 2.5kB in bytes, units by 1024, as a decimal."""
     s = _c(s)
@@ -616,6 +634,24 @@ def hamming_distance(a, b) -> Column:
     return F.when(F.length(a) == F.length(b), n).otherwise(F.raise_error(F.lit("texts must have the same length")).cast("bigint"))
 
 
+#: All white space.
+SPACE = r"[\u0009-\u000d\u0020\u0085\u1680\u2000-\u2006\u2008-\u200a\u2028\u2029\u205f\u3000]"
+
+
+def _trim(s, chars, left: bool, right: bool) -> Column:
+    """Of all white space, or of any of the given characters."""
+    s = _c(s)
+    if chars is not None:
+        return (F.btrim if left and right else F.ltrim if left else F.rtrim)(s, _l(chars))
+    ends = [p for p, on in ((f"^{SPACE}+", left), (f"{SPACE}+$", right)) if on]
+    return F.regexp_replace(s, "|".join(ends).replace("$", r"\z"), "")
+
+
+FUNCTIONS["trim"] = lambda s, chars=None: _trim(s, chars, True, True)
+FUNCTIONS["ltrim"] = lambda s, chars=None: _trim(s, chars, True, False)
+FUNCTIONS["rtrim"] = lambda s, chars=None: _trim(s, chars, False, True)
+
+
 @fn
 def trail(s, n) -> Column:
     return F.right(_c(s), _l(n))
@@ -762,6 +798,7 @@ FUNCTIONS["format_datetime"] = lambda t, p: F.date_format(t, p.replace("Y", "y")
 FUNCTIONS["parse_datetime"] = lambda s, p: F.to_timestamp(s, p.replace("Y", "y").replace("ZZ", "xxx"))
 FUNCTIONS["from_iso8601_timestamp"] = lambda s: F.to_timestamp(s)
 FUNCTIONS["to_iso8601"] = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+FUNCTIONS["date_trunc"] = lambda unit, t, date=False: F.trunc(_c(t), unit) if date else F.date_trunc(unit, _c(t))  # a date stays a date where it is named as one
 FUNCTIONS["dow"] = FUNCTIONS["day_of_week"] = lambda d: F.weekday(d) + 1
 FUNCTIONS["yow"] = FUNCTIONS["year_of_week"] = lambda d: F.extract(F.lit("YEAROFWEEK"), _c(d))
 FUNCTIONS["millisecond"] = lambda t: F.pmod(F.unix_millis(_c(t).cast("timestamp")), F.lit(1000)).cast("bigint")
@@ -810,6 +847,16 @@ def json_size(j, path: str = "$") -> Column:
     return F.coalesce(F.json_array_length(x), F.size(F.json_object_keys(x)).cast("int"), F.when(x.isNotNull(), 0)).cast("bigint")
 
 
+def _from_json(j, kind: str) -> Column:
+    """Text of JSON as a value of a type; an error where it isn't one."""
+    return F.from_json(_c(j), kind, {"mode": "FAILFAST"})
+
+
+FUNCTIONS["json_string_to_array_cast"] = lambda j, element: _from_json(j, f"array<{element}>")
+FUNCTIONS["json_string_to_map_cast"] = lambda j, key, value: _from_json(j, f"map<{key},{value}>")
+FUNCTIONS["json_string_to_row_cast"] = lambda j, fields: _from_json(j, f"struct<{fields}>")
+
+
 @fn
 def json_array_get(j, i: int) -> Column:
     """From 0, or from the end if negative."""

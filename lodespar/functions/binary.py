@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DataType, DoubleType, FloatType, StringType
 
+from lodespar.shipping import arrow_column
+
 _ARROW = {BinaryType: pa.binary(), DoubleType: pa.float64(), FloatType: pa.float32(), StringType: pa.string()}
 
 
@@ -22,7 +24,7 @@ def _column(f: Callable, out: DataType, cast: str | None = None) -> Callable[...
     def run(*cols: pa.Array) -> pa.Array:
         return pa.array([None if None in row else f(*row) for row in zip(*[c.to_pylist() for c in cols])], _ARROW[type(out)])
 
-    udf = F.arrow_udf(run, out)
+    udf = arrow_column(run, out)
 
     def call(*xs) -> Column:
         cs = [x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x) for x in xs]

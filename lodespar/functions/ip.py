@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType
 
+from lodespar.shipping import arrow_column
+
 
 def _net(p: str):
     return ipaddress.ip_network(p, strict=False)
@@ -66,7 +68,7 @@ def _column(f: Callable, out: DataType) -> Callable[..., Column]:
     def run(*cols: pa.Array) -> pa.Array:
         return pa.array([None if None in row else f(*row) for row in zip(*[c.to_pylist() for c in cols])], kind)
 
-    udf = F.arrow_udf(run, out)
+    udf = arrow_column(run, out)
     return lambda *xs: udf(*[x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x) for x in xs])
 
 

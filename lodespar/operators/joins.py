@@ -61,14 +61,15 @@ def _existence(left, right, lk, rk, condition, null_aware, match) -> DataFrame:
     tagged = left.withColumn("__id", F.monotonically_increasing_id())
     cond = F.expr(condition) if isinstance(condition, str) else condition
     equal = reduce(lambda a, b: a & b, [tagged[a] == right[b] for a, b in zip(lk, rk)])
+    hits = tagged.join(right, equal & cond).select("__id").withColumn("__hit", F.lit(True))
     if null_aware:
-        # a null key on either side leaves the row unknown where the condition holds
+        # a null key on either side leaves the row unknown where the condition holds: only rows with a null key meet the other side without one
         loose = reduce(lambda a, b: a & b, [F.coalesce(tagged[a] == right[b], F.lit(True)) for a, b in zip(lk, rk)])
-        hits = tagged.join(right, loose & cond).groupBy("__id").agg(F.max(F.coalesce(equal, F.lit(False))).alias("__hit"))
-        value = F.when(F.col("__hit"), True).when(F.col("__hit").isNull(), False)
-    else:
-        hits = tagged.join(right, equal & cond).select("__id").distinct().withColumn("__hit", F.lit(True))
-        value = F.col("__hit").isNotNull()
+        no_left, no_right = (reduce(lambda a, b: a | b, [side[k].isNull() for k in keys]) for side, keys in ((tagged, lk), (right, rk)))
+        unknown = lambda l, r: l.join(r, loose & cond).select("__id").withColumn("__hit", F.lit(False))
+        hits = hits.unionAll(unknown(tagged.where(no_left), right)).unionAll(unknown(tagged.where(~no_left), right.where(no_right)))
+    hits = hits.groupBy("__id").agg(F.max("__hit").alias("__hit"))
+    value = F.when(F.col("__hit"), True).when(F.col("__hit").isNull(), False)
     return tagged.join(hits, "__id", "left").withColumn(match, value).drop("__id", "__hit").select(*left.columns, match)
 
 
@@ -109,8 +110,18 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     """Rows with low <= point <= high (and equal keys), as an equi-join of bins of the given width.
 
     A range stands in each bin that it touches; choose width near the ranges'
-    usual length. Null or reversed ranges match nothing.
+    usual length. Null or reversed ranges match nothing. kind is inner, left,
+    left_semi or left_anti, which keep the points; or right or full, which give
+    each range without a point once too.
     """
+    if kind not in ("inner", "left", "left_semi", "left_anti", "right", "full"):
+        raise ValueError(kind)
+    if kind in ("right", "full"):
+        numbered = ranges.withColumn("__range", F.monotonically_increasing_id())
+        left_kind = "inner" if kind == "right" else "left"
+        met = range_join(points, numbered, point, low, high, width, equal, left_kind)
+        alone = numbered.join(met.where("__range is not null").select("__range").distinct(), "__range", "left_anti").drop("__range")
+        return met.drop("__range").unionByName(alone, allowMissingColumns=True)
     lo, hi = F.floor(F.col(low) / F.lit(width)).cast("bigint"), F.floor(F.col(high) / F.lit(width)).cast("bigint")
     binned = ranges.where(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(F.sequence(lo, hi)))
     left = points.withColumn("__at", F.floor(F.col(point) / F.lit(width)).cast("bigint"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,24 +24,32 @@ def window(df: DataFrame, partition: Sequence[Key], keys: Sequence[Key], functio
     return df.select("*", *[f.over(w).alias(n) for n, f in functions.items()])
 
 
-def _listed(df: DataFrame, partition: Sequence[str], keys: Sequence[Key], what: Column) -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*keys_of(keys))
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn("__rn", F.row_number().over(w)).withColumn("__all", F.collect_list(F.struct(what.alias("x"))).over(whole))
+#: Rows of a partition whose values are gathered together for frames.
+RUN = 256
 
 
 def column_frame(df: DataFrame, partition: Sequence[str], keys: Sequence[Key], value: str, start: Column, end: Column, fn: Callable[[Column], Column], name: str) -> DataFrame:
     """fn of the array of values in rows start..end around each row; start and end are columns of offsets (negative: preceding).
 
-    Spark has no such frames. The partition's values are gathered into an array
-    beside its rows, so a partition must fit a task.
+    Spark has no such frames. Rows are numbered, values are gathered in runs of
+    RUN rows, and each row meets the runs that its frame touches, so what a
+    task holds for a row is its frame, not its partition.
     """
-    x = _listed(df, partition, keys, F.col(value))
-    n = F.size("__all")
-    lo = F.greatest(F.col("__rn") + start, F.lit(1)).cast("int")
-    hi = F.least(F.col("__rn") + end, n).cast("int")
-    part = F.when(hi >= lo, F.slice("__all", lo, F.greatest(hi - lo + 1, F.lit(0)))).otherwise(F.slice("__all", 1, 0))
-    return x.withColumn(name, fn(F.transform(part, lambda e: e["x"]))).drop("__rn", "__all")
+    parts = [f"__p{i}" for i in range(len(partition))]
+    by = [F.col(p).alias(n) for p, n in zip(partition, parts)]
+    w = Window.partitionBy(*partition).orderBy(*keys_of(keys))
+    x = df.withColumn("__rn", F.row_number().over(w).cast("bigint")).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*partition)))
+    x = x.withColumn("__lo", F.greatest(F.col("__rn") + start, F.lit(1))).withColumn("__hi", F.least(F.col("__rn") + end, F.col("__n")))
+    run = lambda c: F.floor((F.col(c) - 1) / RUN)
+    runs = x.select(*by, "__rn", F.struct("__rn", F.col(value).alias("x")).alias("__e")).groupBy(*parts, run("__rn").alias("__run")).agg(F.sort_array(F.collect_list("__e")).alias("__values"))
+    need = x.where("__hi >= __lo").select(*by, "__rn", "__lo", "__hi", F.explode(F.sequence(run("__lo"), run("__hi"))).alias("__run"))
+    on = reduce(lambda a, b: a & b, [need[p].eqNullSafe(runs[p]) for p in parts], need["__run"] == runs["__run"])
+    inside = F.filter("__values", lambda e: (e["__rn"] >= F.col("__lo")) & (e["__rn"] <= F.col("__hi")))
+    met = need.join(runs, on).select(*[need[p] for p in parts], need["__rn"], inside.alias("__part")).groupBy(*parts, "__rn").agg(F.sort_array(F.flatten(F.collect_list("__part"))).alias("__frame"))
+    met = met.withColumnRenamed("__rn", "__at")
+    back = reduce(lambda a, b: a & b, [x[p].eqNullSafe(met[n]) for p, n in zip(partition, parts)], x["__rn"] == met["__at"])
+    frame = F.coalesce(met["__frame"], F.array().cast(met.schema["__frame"].dataType))
+    return x.join(met, back, "left").select(*[x[c] for c in df.columns], fn(F.transform(frame, lambda e: e["x"])).alias(name))
 
 
 def offset_by(df: DataFrame, partition: Sequence[str], keys: Sequence[Key], value: str, offset: Column, name: str, default: Column | None = None) -> DataFrame:

@@ -138,6 +138,8 @@ _join("left_semi_project", f"select *, coalesce(k in (select ok from {_ORD} wher
 _join("left_semi_project", f"select *, case when k is null then null when k in (select ok from {_ORD} where ok is not null) then true end as match from {_CUST}", null_aware=True)
 _join("left_semi_project", f"select *, exists (select 1 from {_ORD} where k = ok and o_totalprice > c_acctbal * 20) as match from {_CUST}", condition="o_totalprice > c_acctbal * 20")
 _join("right_semi_project", f"select *, coalesce(ok in (select k from {_CUST} where k is not null), false) as match from {_ORD}")
+_join("left_semi_project", f"""select *, case when exists (select 1 from {_ORD} where k = ok and o_totalprice > c_acctbal * 20) then true
+when exists (select 1 from {_ORD} where (k is null or ok is null) and o_totalprice > c_acctbal * 20) then null else false end as match from {_CUST}""", condition="o_totalprice > c_acctbal * 20", null_aware=True)
 _join("anti", f"select * from {_CUST} where not exists (select 1 from {_ORD} where k = ok)")
 _join("anti", f"select * from {_CUST} where k not in (select ok from {_ORD})", null_aware=True)
 
@@ -188,6 +190,23 @@ def join_range(spark, d):
     return O.range_join(_t(spark, d, "orders").where("o_orderkey % 20 = 0"), ranges, "o_totalprice", "lo", "hi", 8.0).select("o_orderkey", "p_partkey")
 
 
+_RANGES = "(select p_partkey, p_retailprice lo, p_retailprice + 5 hi from part)"
+_POINTS = "(select o_orderkey, o_totalprice from orders where o_orderkey % 20 = 0)"
+
+
+def _range(kind: str):
+    def f(spark, d):
+        ranges = _t(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 5).alias("hi"))
+        return O.range_join(_t(spark, d, "orders").where("o_orderkey % 20 = 0").select("o_orderkey", "o_totalprice"), ranges, "o_totalprice", "lo", "hi", 8.0, kind=kind).select("o_orderkey", "p_partkey")
+
+    f.__name__ = f"join_range_{kind}"
+    query(f"select o_orderkey, p_partkey from {_POINTS} {kind} join {_RANGES} on o_totalprice between lo and hi")(f)
+
+
+for _k in ("left", "right", "full"):
+    _range(_k)
+
+
 @query("""with l as (select event_id, user_id, ts from events where event_type = 'purchase'), r as (select user_id u, ts t, max(value) v from events where event_type = 'view' group by 1, 2)
 select event_id, user_id, ts, v asof_v from l asof left join r on user_id = u and ts >= t""")
 def join_as_of(spark, d):
@@ -307,6 +326,28 @@ def partial_merge_extract(spark, d):
     return merged.select("l_returnflag", P.extract("count", F.col("c")).alias("n"), P.extract("avg", F.col("a")).alias("a"), F.round(P.extract("var_samp", F.col("v")), 4).alias("v"), F.round(P.extract("stddev_pop", F.col("v")), 6).alias("s"))
 
 
+@query("""select l_returnflag, count(*) filter (l_tax > 0.04) ci, round(covar_pop(l_quantity, l_tax), 6) cp, round(corr(l_extendedprice, l_quantity), 6) co, round(regr_slope(l_extendedprice, l_quantity), 4) sl, round(regr_intercept(l_extendedprice, l_quantity), 2) ic, round(regr_r2(l_extendedprice, l_quantity), 6) r2,
+count(*) rc, bool_and(l_quantity > 0) ba, bit_or(l_linenumber) bo, max(l_quantity) mx, arg_max(l_orderkey, l_extendedprice) mb, round(exp(avg(ln(l_quantity))), 6) gm, list_sort(list(distinct l_linenumber)) sa, len(list(l_linenumber))::bigint aa,
+round(sum(pow(l_quantity - m, 3)) / count(*) / pow(sum(pow(l_quantity - m, 2)) / count(*), 1.5), 5) sk, round(sum(pow(l_quantity - m, 4)) / count(*) / pow(sum(pow(l_quantity - m, 2)) / count(*), 2) - 3, 5) ku
+from (select *, avg(l_quantity) over (partition by l_returnflag) m from lineitem) group by 1""")
+def partial_states(spark, d):
+    """Many kinds of states per (flag, supplier), merged per flag."""
+    P = O.partial_state
+    pair = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    price = pair("l_extendedprice", "l_quantity")
+    kinds = {
+        "ci": ("count_if", F.col("l_tax") > 0.04), "cp": ("covar_pop", pair("l_quantity", "l_tax")), "co": ("corr", price), "sl": ("regr_slope", price), "ic": ("regr_intercept", price), "r2": ("regr_r2", price), "rc": ("regr_count", price), "ba": ("bool_and", F.col("l_quantity") > 0),
+        "bo": ("bitwise_or_agg", F.col("l_linenumber")), "mx": ("max", F.col("l_quantity")), "mb": ("max_by", pair("l_orderkey", "l_extendedprice")), "gm": ("geometric_mean", F.col("l_quantity")), "sa": ("set_agg", F.col("l_linenumber")), "aa": ("array_agg", F.col("l_linenumber")),
+        "sk": ("skewness", F.col("l_quantity")), "ku": ("kurtosis", F.col("l_quantity")),
+    }
+    states = _t(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(*[P.partial(k, x).alias(n) for n, (k, x) in kinds.items()])
+    merged = states.groupBy("l_returnflag").agg(*[P.merge(k, F.col(n)).alias(n) for n, (k, _) in kinds.items()])
+    value = {n: P.extract(k, F.col(n)) for n, (k, _) in kinds.items()}
+    digits = {"cp": 6, "co": 6, "sl": 4, "ic": 2, "r2": 6, "gm": 6, "sk": 5, "ku": 5}
+    value |= {n: F.round(value[n], k) for n, k in digits.items()} | {"sa": F.array_sort(value["sa"]), "aa": F.size(value["aa"]).cast("bigint")}
+    return merged.select("l_returnflag", *[c.alias(n) for n, c in value.items()])
+
+
 @query("select o_orderkey from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0 and o_orderkey % 2 = 1")
 def sorted_merge(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey")
@@ -318,6 +359,30 @@ def exchange_partitioned(spark, d):
     return O.partitioned_output(_t(spark, d, "orders"), "hash", ["o_custkey"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""select c_custkey, n_nationkey from customer join nation on c_custkey % 100 between n_nationkey and n_nationkey + 5 and c_custkey % 90 between n_nationkey and n_nationkey + 5""")
+def join_spatial(spark, d):
+    """Points in boxes."""
+    from lodespar.functions import call
+
+    points = _t(spark, d, "customer").select("c_custkey", call("ansi", "ST_Point", (F.col("c_custkey") % 100).cast("double"), (F.col("c_custkey") % 90).cast("double")).alias("p"))
+    box = F.format_string("POLYGON ((%d %d, %d %d, %d %d, %d %d, %d %d))", *[x for a, b in ((0, 0), (5, 0), (5, 5), (0, 5), (0, 0)) for x in (F.col("n_nationkey") + a, F.col("n_nationkey") + b)])
+    boxes = _t(spark, d, "nation").select("n_nationkey", call("ansi", "ST_GeometryFromText", box).alias("b"))
+    return O.spatial_join(boxes, points, "b", "p", "ST_Intersects", 5.0).select("c_custkey", "n_nationkey")
+
+
+@query("""select l_returnflag, list(l_orderkey order by l_extendedprice, l_orderkey)[1:5] first5, count(*) n from lineitem group by 1""")
+def aggregate_sorted_inputs(spark, d):
+    from lodespar.functions import call
+
+    ordered = call("ansi", "array_agg_ordered", "l_orderkey", "l_extendedprice", "l_orderkey")
+    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.slice(ordered, 1, 5).alias("first5"), F.count(F.lit(1)).alias("n"))
+
+
+@query("select c_custkey, c_name, n_name from customer join nation on c_nationkey = n_nationkey")
+def join_broadcast_hint(spark, d):
+    return O.hash_join(_t(spark, d, "customer"), _t(spark, d, "nation"), ["c_nationkey"], ["n_nationkey"], hint="broadcast").select("c_custkey", "c_name", "n_name")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f"rel_{k}": f for k, f in QUERIES.items()}
 

@@ -23,14 +23,16 @@ def _read(c: Column, kind, item: str, key: str) -> Column:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, field: str = FIELD, item: str = ITEM, key: str = KEY, skip_header: bool = False) -> DataFrame:
-    """Values that can't be read as their type are null; missing fields too."""
+    """Values that can't be read as their type are null; missing fields too. skip_header drops the first line of each file."""
     kinds = _parse_datatype_string(schema)
     lines = spark.read.text(path)
+    if skip_header:  # the line at the beginning of a file is the one that a split of it begins with
+        first = F.col("_metadata.file_block_start") == 0
+        lines = lines.select("value", first.alias("first"), F.spark_partition_id().alias("part"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n"))
+        heads = lines.where("first").groupBy("path").agg(F.min("n").alias("n"))
+        lines = lines.join(heads, ["path", "n"], "left_anti")  # one row per file: broadcast if small
     parts = F.split("value", _quote(field), -1)
-    rows = lines.select(parts.alias("p"), F.col("value"))
-    if skip_header:
-        header = lines.first()
-        rows = rows.where(F.col("value") != (header[0] if header else ""))
+    rows = lines.select(parts.alias("p"))
     return rows.select(*[_read(F.get("p", F.lit(i)), f.dataType, _quote(item), _quote(key)).alias(f.name) for i, f in enumerate(kinds.fields)])
 
 
