@@ -48,7 +48,7 @@ def _slice(folder: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _open[folder, k]
 
 
-def _find(folder: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_rows(folder: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row whether it is in the table, how many values it has there, and all these values in a row."""
     hit, size, values = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64), []
     order = np.argsort(rows, kind="stable")
@@ -87,7 +87,7 @@ class RowTable:
         folder = self.path
 
         def run(rows: pa.Array) -> pa.Array:
-            hit, total, values = _find(folder, rows.to_numpy(zero_copy_only=False))
+            hit, total, values = find_rows(folder, rows.to_numpy(zero_copy_only=False))
             return pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(values), mask=pa.array(~hit))
 
         return F.arrow_udf(run, "array<bigint>").asNondeterministic()(row)
@@ -96,7 +96,7 @@ class RowTable:
         folder = self.path
 
         def run(rows: pa.Array) -> pa.Array:
-            return pa.array(_find(folder, rows.to_numpy(zero_copy_only=False))[0])
+            return pa.array(find_rows(folder, rows.to_numpy(zero_copy_only=False))[0])
 
         return F.arrow_udf(run, "boolean").asNondeterministic()(row)
 

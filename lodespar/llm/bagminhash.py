@@ -19,17 +19,20 @@ every other class of the bucket is a candidate of these: links in proportion to
 the rows, whatever a bucket's size. Each
 class first verifies its most frequent candidate by exact multiset overlap,
 and then all candidates that still lead to other groups. The classes of buckets
-that still span several groups are then joined exactly, by their prefixes: each
-class lists its shingles from rare to common, and the first common shingle of
-two similar classes has so much of both behind it that only about the rarest
-fifth of a class, and ninth of the smaller one, can hold it. All pairs of
-different groups that meet in one are verified, so no similar pair that shares
-a bucket stays in two groups. Groups are connected components of verified links.
+that still span several groups are then joined exactly. By their prefixes they
+fall into families: each class lists its shingles from rare to common, and the
+first common shingle of two similar classes has so much of both behind it that
+only about the rarest fifth of a class, and ninth of the smaller one, can hold
+it; groups that share such a shingle belong to one family, so similar classes
+do. A family's rows are dealt into blocks of a bounded size, and the overlaps of
+all classes of different groups in two blocks are counted inside a task, which
+sends no pairs, only as many links as join its groups. So no similar pair that
+shares a bucket stays in two groups. Groups are connected components of links.
 
 How common a shingle is, is counted in a table of a fixed size; that only orders
-the shingles, and any order gives the same links. Where many classes of
-different groups share even their rarest shingles, their pairs are all verified,
-which takes as long as there are such pairs.
+the shingles, and any order gives the same links. In a family of many small
+groups that share even their rarest shingles all blocks meet all, so its time
+and what it sends grow with the square of its number of blocks.
 
 Edge cases: null and empty texts have no shingle and stay alone. A text of
 fewer than five words is one shingle of all its words. Repeated rows fall in
@@ -44,7 +47,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _util
-from ._graph import components, joined
+from ._graph import Union, components, joined
+from ._rows import RowTable
 from ._words import U, Words, mix, shingles
 
 SHINGLE = 5
@@ -52,8 +56,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 #: Cells of the table that counts in how many classes a shingle stands; shingles of one cell count together.
 CELLS = 1 << 20
-#: Parts that one group's rows of a shingle are gathered in, and most gathered rows of a shingle that meet the others in one task.
-PARTS, BLOCK = 16, 1000
+#: Most items and rows of a block of a family; of a tile, of which a task compares two at once; and the items that these are compared on at once.
+BLOCK_ITEMS, BLOCK_ROWS = 1 << 20, 4096
+TILE_ITEMS, TILE, WIDE = 1 << 18, 1024, 2048
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -181,46 +186,141 @@ def prefixes(row: np.ndarray, item: np.ndarray, count: np.ndarray, common: np.nd
     return order[at], behind[at], weight[row[order][at]]
 
 
-def _cross_pairs(mixed: DataFrame, texts: DataFrame) -> DataFrame:
-    """mixed: key, component. All pairs a, b of different components that can be similar by their prefixes."""
-    spark = mixed.sparkSession
-    rows = texts.join(mixed, "key").select("key", "component", "text")
+def _families(rows: DataFrame) -> DataFrame:
+    """rows: key, component, text. Per component that shares a shingle of its prefixes with another: component, family (the smallest component it leads to by these)."""
+    spark = rows.sparkSession
     tally = rows.select("text").mapInArrow(_tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(CELLS, np.int64)
     common[tally.column("cell").to_numpy()] = tally.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(common)
+    # least weight that similar classes share: of both weights together, and of twice the smaller one
+    share = THRESHOLD / (1 + THRESHOLD)
 
     def run(batches):
         for batch in _util.steps(batches, "text"):
             row, item, count = shingles(Words.of(batch.column("text")), SHINGLE)
             at, behind, weight = prefixes(row, item, count, shared.value)
-            of = pa.array(row[at])
-            yield pa.record_batch([pa.array(item[at].view(np.int64)), batch.column("key").take(of), batch.column("component").take(of), pa.array(behind, pa.int64()), pa.array(weight, pa.int64())], names=["item", "key", "component", "behind", "weight"])
+            yield pa.record_batch([pa.array(item[at].view(np.int64)), batch.column("component").take(pa.array(row[at])), pa.array(behind >= 2 * share * weight - 1e-6)], names=["item", "component", "first"])
+
+    listed = rows.mapInArrow(run, "item bigint, component bigint, first boolean").groupBy("item", "component").agg(F.max("first").alias("first"))
+    listed = _util.cut(listed)
+    least = listed.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first")).where("low < high and first").select("item", "low")
+    links = listed.join(least, "item").select(F.col("component").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    out = _util.cut(components(links)).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    _util.drop_cut(listed)
+    return out
 
-    listed = _util.cut(rows.mapInArrow(run, "item bigint, key bigint, component bigint, behind bigint, weight bigint"))
-    # least weight that similar classes share: of both weights together, and of twice the smaller one
-    share = THRESHOLD / (1 + THRESHOLD)
-    first = F.col("behind") >= 2 * share * F.col("weight") - 1e-6
-    many = listed.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(first).alias("first")).where("low < high and first").select("item")
-    # the rows of a group are gathered, for they need not meet each other; a very common shingle's are dealt into blocks
-    gathered = listed.join(many, "item").groupBy("item", "component", F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("weight", "key", "behind", first.alias("first"))).alias("x"))
-    gathered = _util.cut(gathered)
-    blocks = gathered.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = gathered.join(blocks, "item")
-    left = dealt.select("item", F.pmod(F.xxhash64(F.lit(6), "component", "part"), F.col("blocks")).cast("int").alias("block"), F.col("component").alias("cx"), F.filter("x", lambda e: e["first"]).alias("x")).where(F.size("x") > 0)
-    right = dealt.select("item", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("component").alias("cy"), F.col("x").alias("y"))
-    met = left.join(right, ["item", "block"]).where("cx <> cy").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    smaller = F.struct("x.weight", "x.key") < F.struct("y.weight", "y.key")
-    enough = F.least("x.behind", "y.behind") >= share * (F.col("x.weight") + F.col("y.weight")) - 1e-6
-    return met.where(smaller & enough).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+def _multisets(batches):
+    """A text's multiset as a sorted set: the second of equal shingles is an item of its own, and so on."""
+    for batch in _util.steps(batches, "text"):
+        row, item, count = shingles(Words.of(batch.column("text")), SHINGLE)
+        at = np.repeat(np.arange(len(item)), count)
+        again = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        x, row = mix(item[at] + U(_GOLD) * again.astype(U)).view(np.int64), row[at]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
+        items = pa.ListArray.from_arrays(pa.array(ends), pa.array(x[np.lexsort((x, row))]))
+        yield pa.record_batch([batch.column("key"), batch.column("family"), batch.column("component"), items], names=["key", "family", "component", "items"])
+
+
+def _tiles(size: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
+    """Rows in runs of at most TILE rows, and of TILE_ITEMS items or one row."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(size[which].tolist()):
+        if i > start and (i - start >= TILE or total + n > TILE_ITEMS):
+            out.append(which[start:i])
+            start, total = i, 0
+        total += n
+    return [*out, which[start:]] if len(which) else []
+
+
+def _overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], rows: int, cols: int) -> np.ndarray:
+    """x, y: row and item of each element of sets. How many items each row of x has in common with each of y."""
+    both = np.intersect1d(x[1], y[1])
+    out = np.zeros((rows, cols))
+    sides = []
+    for r, item in (x, y):
+        at = np.minimum(np.searchsorted(both, item), max(len(both) - 1, 0))
+        on = both[at] == item if len(both) else np.zeros(len(item), bool)
+        order = np.argsort(at[on], kind="stable")
+        sides.append((r[on][order], at[on][order]))
+    for low in range(0, len(both), WIDE):
+        m = []
+        for (r, at), n in zip(sides, (rows, cols)):
+            lo, hi = np.searchsorted(at, (low, low + WIDE))
+            part = np.zeros((n, min(WIDE, len(both) - low)), np.float32)  # sums of at most WIDE ones are exact
+            part[r[lo:hi], at[lo:hi] - low] = 1
+            m.append(part)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _links_between(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Two blocks of a family, or one with itself: links that join its components, as few as join all that these rows do."""
+    table = table.combine_chunks()
+    side = table.column("side").to_numpy()
+    ids, comp = table.column("key").to_numpy(), table.column("component").to_numpy()
+    items = table.column("items").combine_chunks()
+    items = items.chunk(0) if isinstance(items, pa.ChunkedArray) else items
+    size = np.asarray(items.value_lengths()).astype(np.int64)
+    flat, ends = items.flatten().to_numpy(), np.cumsum(size)
+    kinds, place = np.unique(comp, return_inverse=True)
+    alone = not side.any()
+    left = _tiles(size, np.flatnonzero(~side))
+    right = left if alone else _tiles(size, np.flatnonzero(side))
+
+    def elements(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(tile)), size[tile]), np.concatenate([flat[ends[i] - size[i] : ends[i]] for i in tile.tolist()])
+
+    found = Union(len(kinds))
+    a, b = [], []
+    for p, x in enumerate(left):
+        ex = elements(x)
+        for y in right[p if alone else 0 :]:
+            if place[x].min() == place[x].max() == place[y].min() == place[y].max():
+                continue
+            n = _overlaps(ex, elements(y), len(x), len(y))
+            total = size[x][:, None] + size[y][None, :]
+            i, j = np.nonzero((n >= THRESHOLD * (total - n) - 1e-9) & (place[x][:, None] != place[y][None, :]))
+            for u, v in zip(x[i].tolist(), y[j].tolist()):
+                if found.join(int(place[u]), int(place[v])):
+                    a.append(int(ids[u]))
+                    b.append(int(ids[v]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _family_links(texts: DataFrame, families: DataFrame) -> DataFrame:
+    """texts: key, component, text. Links between the components of each family.
+
+    Rows of a family are dealt into blocks, large components into blocks of
+    their own, and each pair of blocks that can hold a link is compared inside
+    one task, so no pair of rows is ever sent.
+    """
+    rows = _util.cut(texts.join(families, "component").select("key", "family", "component", "text").mapInArrow(_multisets, "key bigint, family bigint, component bigint, items array<bigint>"))
+    n = F.size("items").cast("bigint")
+    sizes = rows.groupBy("family", "component").agg(F.sum(n).alias("items"), F.count(F.lit(1)).alias("rows"))
+    blocks = F.ceil(F.greatest(F.col("items") / BLOCK_ITEMS, F.col("rows") / BLOCK_ROWS)).cast("int")
+    sizes = sizes.withColumn("large", (F.col("items") > BLOCK_ITEMS) | (F.col("rows") > BLOCK_ROWS))
+    # a block is (component, number), with a null component for those of many small components
+    of = sizes.groupBy("family", F.when(F.col("large"), F.col("component")).alias("of")).agg(F.sum("items").alias("items"), F.sum("rows").alias("rows")).select("family", "of", blocks.alias("blocks"))
+    all_ = of.select("family", "of", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).groupBy("family").agg(F.collect_list(F.struct("of", "block")).alias("all"))
+    dealt = sizes.select("family", "component", F.when(F.col("large"), F.col("component")).alias("of"))
+    dealt = dealt.join(of, (dealt["family"] == of["family"]) & dealt["of"].eqNullSafe(of["of"])).select("component", dealt["of"], "blocks", dealt["family"]).join(all_, "family").drop("family")
+    own = F.pmod(F.xxhash64(F.lit(5), F.when(F.col("of").isNull(), F.col("component")).otherwise(F.col("key"))), F.col("blocks")).cast("int")
+    placed = rows.join(dealt, "component").withColumn("own", F.struct("of", own.alias("block")))
+    other = F.filter("all", lambda e: e["of"].isNull() | ~e["of"].eqNullSafe(F.col("own.of")))
+    sent = placed.select("family", "key", "component", "items", "own", F.explode(other).alias("o"))
+    sent = sent.select("family", "key", "component", "items", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).alias("side"))
+    return sent.groupBy("family", "p", "q").applyInArrow(_links_between, "a bigint, b bigint")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: row (its number, see number_rows), id, class key (null without a word) and component (the smallest class key of its group)."""
     spark = docs.sparkSession
     _util.ship(spark)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
+    docs = _util.steady(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    ids = docs.select(F.monotonically_increasing_id().alias("row"), "id")
     described = _util.cut(numbered.select("row", "text").mapInArrow(_describe, "row bigint, key bigint, bands array<bigint>"))
     most = described.count() * BANDS
     rows = described.select("row", "key")
@@ -236,16 +336,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     scored = shared.select("bucket", "key").join(central, "key")
     pivots = scored.groupBy("bucket").agg(F.max(F.struct("score", F.col("key").alias("pivot"))).alias("p"), F.min(F.struct(order(0).alias("h"), F.col("key").alias("pivot"))).alias("q")).select("bucket", F.array("p.pivot", "q.pivot").alias("pivots"))
     pairs = shared.select("bucket", "key").join(pivots, "bucket").select("key", F.explode("pivots").alias("pivot")).where("key <> pivot")
-    candidates = _util.cut(pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), F.col("key").alias("from")).groupBy("a", "b", "from").agg(F.count(F.lit(1)).alias("times")), 2 * most)
-    # the texts of the classes that have a candidate
-    nodes = candidates.select(F.col("a").alias("key")).unionAll(candidates.select(F.col("b").alias("key"))).distinct()
-    wanted = classes.join(nodes, "key")
-    texts = _util.cut(numbered.select("row", "text").join(wanted, "row").select("key", "text"))
+    candidates = pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"), F.col("key").alias("from")).groupBy("a", "b", "from").agg(F.count(F.lit(1)).alias("times"))
+    candidates = _util.cut(candidates, 2 * most)
+
+    def texts_of(table: DataFrame) -> DataFrame:
+        """table: key, to (array). The text of each class with its values, read where its row stands."""
+        rows = RowTable(classes.join(table, "key").select("row", F.concat(F.array("key"), "to").alias("to")))
+        found = numbered.select("text", rows.get(F.col("row")).alias("to")).where("to is not null")
+        out = _util.cut(found.select(F.get("to", F.lit(0)).alias("key"), F.slice("to", 2, F.size("to")).alias("to"), "text"))
+        rows.drop()
+        return out
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-        full = left.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-        return full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint")
+        """pairs: from, to; a few for each from. Their links; each text goes to those it is compared with, by one shuffle."""
+        send = pairs.select(F.col("from").alias("key"), "to").unionAll(pairs.select(F.col("to").alias("key"), "to").distinct())
+        sent = texts_of(send.groupBy("key").agg(F.collect_list("to").alias("to")))
+        one = sent.select("key", F.explode("to").alias("to"), "text")
+        left = one.where("key <> to").select(F.col("to").alias("b"), F.col("key").alias("a"), F.col("text").alias("ta"))
+        right = one.where("key = to").select(F.col("key").alias("b"), F.col("text").alias("tb"))
+        links = _util.cut(left.join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify, "a bigint, b bigint"), most)
+        _util.drop_cut(sent)
+        return links
 
     def grouped(pairs: DataFrame, comp: DataFrame) -> DataFrame:
         """pairs a, b with their groups ca, cb, where these differ."""
@@ -254,17 +365,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return pairs.where("ca <> cb")
 
     # each class takes the candidate it shares most bands with; then all that still lead to other groups are tried
-    best = candidates.groupBy("from").agg(F.max(F.struct("times", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    comp = _util.cut(components(verified(best), most), most)
-    rest = grouped(candidates.select("a", "b").distinct().join(best, ["a", "b"], "left_anti"), comp)
-    comp = _merge(comp, verified(rest.select("a", "b")), grouped, most)
+    other = F.when(F.col("a") == F.col("from"), F.col("b")).otherwise(F.col("a")).alias("to")
+    best = candidates.groupBy("from").agg(F.max(F.struct("times", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("m")).groupBy("m.a", "m.b").agg(F.min("from").alias("from"))
+    best = _util.cut(best, most)
+    links = verified(best.select("from", other))
+    comp = _util.cut(components(links, most), most)
+    _util.drop_cut(links)
+    rest = grouped(candidates.groupBy("a", "b").agg(F.min("from").alias("from")).join(best, ["a", "b"], "left_anti"), comp)
+    links = verified(rest.select("from", other))
+    comp = _merge(comp, links, grouped, most)
+    _util.drop_cut(links)
     # the classes of buckets that still hold several groups
     held = shared.join(comp.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
     several = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     mixed = _util.cut(held.join(several, "bucket", "left_semi").select("key", "component").distinct(), most)
     if not mixed.isEmpty():
-        pairs = _util.cut(_cross_pairs(mixed, texts).join(candidates.select("a", "b").distinct(), ["a", "b"], "left_anti"))
-        comp = _merge(comp, verified(pairs), grouped, most)
+        texts = texts_of(mixed.select("key", F.array("component").alias("to")))
+        named = texts.select("key", F.get("to", F.lit(0)).alias("component"), "text")
+        links = _util.cut(_family_links(named, _families(named)))
+        comp = _merge(comp, links, grouped, most)
+        for done in (texts, links):
+            _util.drop_cut(done)
+    for done in (buckets, shared, candidates, best, mixed):
+        _util.drop_cut(done)
     out = rows.join(comp.withColumnRenamed("node", "key"), "key", "left").select("row", "key", F.coalesce("component", "key").alias("component"))
     return ids.join(out, "row").select("row", "id", "key", "component")
 
@@ -287,8 +410,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group, with docs' own columns. docs must give its rows in the same partitions each time it is read, as files do."""
+    """docs with one row of each group, with docs' own columns. The rows are never shuffled: each task reads which of its own go."""
     names = docs.columns
-    keep = _util.cut(deduplicated(docs, id_col, text_col).where("kept").select(F.col("row").alias("__row")))
-    inner = docs.toDF(*[f"__c{i}" for i in range(len(names))]).withColumn("__row", F.monotonically_increasing_id())
-    return inner.join(keep, "__row", "left_semi").drop("__row").toDF(*names)
+    inner = _util.steady(docs.toDF(*[f"__c{i}" for i in range(len(names))]))
+    found = deduplicated(inner, f"__c{names.index(id_col)}", f"__c{names.index(text_col)}")
+    gone = RowTable(found.where("not kept").select("row", F.array().cast("array<bigint>").alias("to")))
+    numbered = inner.withColumn("__gone", gone.has(F.monotonically_increasing_id()))
+    return numbered.where("not __gone").drop("__gone").toDF(*names)
