@@ -23,7 +23,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def _held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    """Null ids are not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
