@@ -59,6 +59,8 @@ CELLS = 1 << 20
 #: Most items and rows of a block of a family; of a tile, of which a task compares two at once; and the items that these are compared on at once.
 BLOCK_ITEMS, BLOCK_ROWS = 1 << 20, 4096
 TILE_ITEMS, TILE, WIDE = 1 << 18, 1024, 2048
+#: Tasks that the rows of a group are dealt over to meet its first row.
+SALT = 16
 
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -404,9 +406,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A row without a word is its own group.
     """
     g = _util.cut(groups(docs, id_col, text_col))
-    first = g.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("m")).select("component", F.col("m.id").alias("component_id"), F.col("m.row").alias("keep"))
-    out = g.join(first, "component", "left")
-    return out.select("row", "id", F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("row") == F.col("keep"), F.lit(True)).alias("kept"))
+    first = g.where("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row")).alias("m"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    # a group's first row is there SALT times, so that a large group is dealt over as many tasks; rows alone in their group need none
+    first = first.select("component", F.col("m.id").alias("component_id"), F.col("m.row").alias("keep"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    out = g.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(first, ["component", "salt"], "left")
+    alone = F.col("keep").isNull()
+    return out.select("row", "id", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, True).otherwise(F.col("row") == F.col("keep")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
