@@ -26,6 +26,8 @@ from ._words import U, Words, buffer, mix
 BITS = 18
 #: Bounds of the labelled rows that a model is fitted on: by grade, over all grades, and of their texts' bytes by grade.
 MAX_ROWS, MAX_ALL, MAX_BYTES = 2000, 20_000, 32 << 20
+#: Parts of a grade that are ranked apart before they are ranked together.
+PARTS = 16
 OUT = "struct<expected_grade:double,tail:double>"
 
 _CLASS = np.zeros(256, np.uint8)
@@ -145,8 +147,11 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     known = _util.cut(known)
     grades = known.agg(F.count_distinct("grade")).first()[0]
     each = max(1, min(max_rows, MAX_ALL // max(grades, 1)))
-    first = Window.partitionBy("grade").orderBy("h", "doc_id")
-    picked = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).drop("n")
+    # within parts of a grade first, so that no task reads all of its rows
+    picked = known.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for by in (("grade", "part"), ("grade",)):
+        picked = picked.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("n") <= each).drop("n")
+    picked = picked.drop("part")
     sample = _util.sample_texts(docs, picked, "grade", MAX_BYTES).select("doc_id", "grade", "text").toArrow().sort_by([("doc_id", "ascending")])
     return fit_rows(pa.chunked_array(sample.column("text").chunks, sample.schema.field("text").type).combine_chunks(), sample.column("grade").to_numpy())
 
