@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 
-from . import aggregates, ansi, binary, buckets, geometry, ip, native, probability, sketches, spark_dialect
+from . import aggregates, ansi, binary, buckets, geometry, ip, native, probability, sketches, spark_dialect, stemming
 
-_DIALECTS = {"ansi": (ansi, aggregates, probability, binary, ip, geometry, sketches, native), "spark": (spark_dialect, native, buckets)}
+_DIALECTS = {"ansi": (ansi, aggregates, probability, binary, ip, geometry, sketches, native, stemming), "spark": (spark_dialect, native, buckets)}
 
 
 def names(dialect: str) -> list[str]:

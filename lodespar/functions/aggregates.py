@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from lodespar.shipping import arrow_column
 
+from .sketches import construct_digest
+
 FUNCTIONS: dict[str, Callable[..., Column]] = {}
 
 
@@ -32,13 +34,21 @@ def fn(g: Callable) -> Callable:
 SAME = {
     **{n: n for n in ("avg", "bool_and", "bool_or", "every", "count", "count_if", "covar_pop", "covar_samp", "corr", "regr_intercept", "regr_slope", "regr_count", "regr_avgy", "regr_avgx", "regr_sxy", "regr_sxx", "regr_syy", "regr_r2", "skewness", "sum", "stddev", "stddev_pop", "stddev_samp", "variance", "var_pop", "var_samp")},
     "bitwise_or_agg": "bit_or", "bitwise_and_agg": "bit_and", "bitwise_xor_agg": "bit_xor", "approx_set": "hll_sketch_agg", "merge": "hll_union_agg", "numeric_histogram": "histogram_numeric",
-    "qdigest_agg": "kll_sketch_agg_double", "tdigest_agg": "kll_sketch_agg_double",
+    "qdigest_agg": "kll_sketch_agg_double",
 }
 for _here, _there in SAME.items():
     if hasattr(F, _there):
         FUNCTIONS[_here] = getattr(F, _there)
 
 
+@fn
+def tdigest_agg(x, compression: int = 200) -> Column:
+    """A digest of centroids, on which the functions of digests work; made by partial sums, so a group of any size takes as many centroids."""
+    x = _c(x).cast("double")
+    places = F.histogram_numeric(x, F.lit(compression))
+    return F.when(F.count(x) > 0, construct_digest(F.transform(places, lambda p: p["x"]), F.transform(places, lambda p: p["y"]), F.min(x), F.max(x)))
+
+
 @fn
 def approx_distinct(x, e: float | None = None) -> Column:
     return F.approx_count_distinct(x, e) if e else F.approx_count_distinct(x)

@@ -66,4 +66,9 @@ def might_contain(bloom: bytes | Column, x) -> Column:
     return _column(_catalyst().BloomFilterMightContain(_expression(bloom), _expression(_c(x).cast("bigint"))))
 
 
-FUNCTIONS: dict[str, Callable[..., Column]] = {"try": try_, "hash_with_seed": hash_with_seed, "xxhash64_with_seed": xxhash64_with_seed, "bloom_filter_agg": bloom_filter_agg, "might_contain": might_contain}
+def hive_bucket(n: int, *xs) -> Column:
+    """The bucket of n that a table of the older format keeps these keys in."""
+    return F.pmod(_column(_catalyst().HiveHash(_all(xs))).bitwiseAND((1 << 31) - 1), F.lit(n))
+
+
+FUNCTIONS: dict[str, Callable[..., Column]] = {"try": try_, "hash_with_seed": hash_with_seed, "xxhash64_with_seed": xxhash64_with_seed, "bloom_filter_agg": bloom_filter_agg, "might_contain": might_contain, "hive_bucket": hive_bucket}

@@ -73,3 +73,43 @@ def aggregate(df: DataFrame, keys: list[str], values: list[str], partial: Callab
 def table(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], returns: str) -> DataFrame:
     """An operator of the user over the batches of each partition."""
     return df.mapInArrow(f, returns)
+
+
+_REWRITES: list[Callable[[str, tuple], Column | None]] = []
+
+
+def rewrite(rule: Callable[[str, tuple], Column | None]) -> None:
+    """Adds a rule that sees a function's name and arguments before it is resolved, and gives another expression or None."""
+    _REWRITES.append(rule)
+
+
+def rewritten(name: str, *args) -> Column | None:
+    """What the first rule that fits makes of a call."""
+    for rule in _REWRITES:
+        out = rule(name, args)
+        if out is not None:
+            return out
+    return None
+
+
+def window_function(df: DataFrame, partition: list[str], order: list[str], f: Callable[[pa.Table], pa.Array], name: str, returns: str) -> DataFrame:
+    """A window function of the user: f gives one value per row of a partition, whose rows come in order. A partition must fit a task."""
+    kinds = ", ".join(f"`{k}` {t}" for k, t in df.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in order])
+        return table.append_column(name, f(table))
+
+    return df.groupBy(*partition).applyInArrow(run, f"{kinds}, `{name}` {returns}")
+
+
+def table_function(spark: SparkSession, name: str, f: Callable[..., Iterator[tuple]], returns: str) -> Callable[..., DataFrame]:
+    """A function of the user that gives rows from constants, in DataFrames and in SQL by name."""
+
+    class Rows:
+        def eval(self, *args):
+            yield from f(*args)
+
+    made = F.udtf(Rows, returnType=returns)
+    spark.udtf.register(name, made)
+    return lambda *args: made(*[F.lit(a) for a in args])

@@ -59,3 +59,18 @@ FUNCTIONS |= {
     "years": lambda d: F.year(d) - 1970, "months": lambda d: (F.year(d) - 1970) * 12 + F.month(d) - 1, "days": lambda d: F.datediff(_c(d), F.lit("1970-01-01").cast("date")),
     "hours": lambda t: F.floor(F.unix_seconds(_c(t).cast("timestamp")) / 3600).cast("int"), "truncate_number": lambda x, w: _c(x) - F.pmod(_c(x), F.lit(w)), "truncate_text": lambda s, w: F.left(_c(s), F.lit(w)),
 }
+
+
+# ---- text of a fixed or a bounded length
+
+
+def _no_longer(s: Column, n: int) -> Column:
+    """Spaces beyond n characters go; anything else there is an error."""
+    return F.when(F.length(F.rtrim(s)) <= n, F.left(s, F.lit(n))).otherwise(F.raise_error(F.lit(f"exceeds a length of {n}")))
+
+
+FUNCTIONS |= {
+    "read_side_padding": lambda s, n: F.when(F.length(_c(s)) < n, F.rpad(_c(s), n, " ")).otherwise(_c(s)),
+    "varchar_type_write_side_check": lambda s, n: F.when(F.length(_c(s)) <= n, _c(s)).when(_c(s).isNotNull(), _no_longer(_c(s), n)),
+    "char_type_write_side_check": lambda s, n: F.when(F.length(_c(s)) <= n, F.rpad(_c(s), n, " ")).when(_c(s).isNotNull(), _no_longer(_c(s), n)),
+}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ansi_queries, dialect_queries, function_queries, operator_queries, tpch
+from . import ansi_queries, dialect_queries, function_queries, io_queries, operator_queries, tpch
 
-_MODULES = [tpch, operator_queries, function_queries, dialect_queries, ansi_queries]
+_MODULES = [tpch, operator_queries, function_queries, dialect_queries, ansi_queries, io_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

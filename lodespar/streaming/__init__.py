@@ -28,6 +28,23 @@ def distinct_stream(df: DataFrame, keys: Sequence[str], time: str, late: str) ->
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Rows of a stream with their number and the running sum of a value by key, in the order of each batch; the two numbers by key are the state."""
+    kinds = ", ".join(f"`{k}` {t}" for k, t in df.dtypes)
+
+    def run(key, parts, state):
+        import pandas as pd
+
+        n, total = state.get if state.exists else (0, 0.0)
+        rows = pd.concat(list(parts)).sort_values(list(order))
+        rows["row_number"] = range(n + 1, n + 1 + len(rows))
+        rows["running_sum"] = total + rows[value].astype(float).fillna(0.0).cumsum()
+        state.update((n + len(rows), float(rows["running_sum"].iloc[-1])))
+        yield rows
+
+    return df.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, row_number bigint, running_sum double", "n bigint, total double", "append", "NoTimeout")
+
+
 def drain(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Runs all that is there in batches, each in full before the next, and stops."""
     query = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

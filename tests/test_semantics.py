@@ -108,3 +108,19 @@ def test_frames_of_empty_and_wide_bounds(spark):
     for r in x.collect():
         lo, hi = (r.i + 5, r.i + 2) if r.i % 7 == 0 else (max(r.i - 300, 0), min(r.i + 2, 599))
         assert (r.f.n, r.f.m) == ((hi - lo + 1, float(hi)) if hi >= lo else (0, None))
+
+
+def test_stems():
+    from lodespar.functions.stemming import stem
+
+    known = {"consigned": "consign", "knightly": "knight", "generate": "generat", "running": "run", "happiness": "happi", "relational": "relat", "digitizer": "digit", "hopping": "hop", "hoping": "hope", "skies": "sky", "dying": "die", "news": "news", "caresses": "caress", "ponies": "poni", "ties": "tie", "agreed": "agre", "cry": "cri", "by": "by", "say": "say", "vileness": "vile", "analogously": "analog", "adoption": "adopt", "controlling": "control", "Generous": "generous", "communication": "communic", "gas": "gas"}
+    assert {w: stem(w) for w in known} == known
+
+
+def test_lengths_of_text(spark):
+    q = lambda name, *a: call("spark", name, *a)
+    for name, good in (("varchar_type_write_side_check", "abc"), ("char_type_write_side_check", "abc")):
+        assert one(spark, q(name, F.lit("abc  "), 3)) == good and one(spark, q(name, F.lit(None).cast("string"), 3)) is None
+        with pytest.raises(Exception, match="exceeds"):
+            one(spark, q(name, F.lit("abcd"), 3))
+    assert one(spark, q("char_type_write_side_check", F.lit("a"), 3)) == "a  " and one(spark, q("read_side_padding", F.lit("abcd"), 3)) == "abcd"
