@@ -35,8 +35,11 @@ groups that share even their rarest shingles all blocks meet all, so its time
 and what it sends grow with the square of its number of blocks.
 
 Edge cases: null and empty texts have no shingle and stay alone. A text of
-fewer than five words is one shingle of all its words. Repeated rows fall in
-one class. Null ids are ordinary values. An empty table gives an empty result.
+fewer than five words is one shingle of all its words. A similarity of just 0.8
+is a link. Texts of any length are read whole. Repeated rows fall in one class;
+of rows with the smallest id of a group the first is kept. Null ids are ordinary
+values and come last. Other columns may have any names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ host's failure rate is shrunk towards the corpus by a beta prior fitted to the
 hosts' rates (method of moments), and hosts whose shrunk rate is above
 ``max_rate`` reject all their documents.
 
-Edge cases: a null or empty text has no word and fails the base rules. A null
-host has no verdict. Repeated rows count as often as they stand. An empty table
+Edge cases: a null or empty text has no word and fails the base rules. A text
+of any length is read whole. A null host has no verdict. A rate of just the
+greatest one allowed rejects nothing. Repeated rows count as often as they
+stand, and rows with one id are judged each by its own text. An empty table
 gives an empty result. Column names of the input don't matter, for the columns
 that are needed are taken out first.
 """
@@ -25,8 +27,8 @@ from ._words import _IS_SPACE, Words, windows
 SYMBOLS = "#*$%&|<>"
 
 COUNTS = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint>"
-#: Most rejected hosts that are sent to every executor; more than that join by a shuffle.
-BROADCAST_HOSTS = 50_000
+#: Most rejected hosts, and bytes of their names, that are sent to every executor; more join by a shuffle, with the same result.
+BROADCAST_HOSTS, BROADCAST_BYTES = 50_000, 8 << 20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
@@ -113,7 +115,8 @@ def rejected_hosts(checked: DataFrame, max_rate: float = 0.5) -> DataFrame:
 def with_host_verdict(df: DataFrame, host: str, rejected: DataFrame, flag: str) -> DataFrame:
     """Adds the boolean column flag: whether the row's host is among the rejected ones."""
     bad = _util.cut(rejected.select(F.col("host").alias("__bad_host")))
-    if bad.count() <= BROADCAST_HOSTS:
+    many, wide = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__bad_host")), F.lit(0))).first()
+    if many <= BROADCAST_HOSTS and wide <= BROADCAST_BYTES:
         bad = F.broadcast(bad)
     return df.join(bad, df[host] == F.col("__bad_host"), "left").withColumn(flag, F.col("__bad_host").isNotNull()).drop("__bad_host")
 
