@@ -857,6 +857,10 @@ FUNCTIONS["json_string_to_map_cast"] = lambda j, key, value: _from_json(j, f"map
 FUNCTIONS["json_string_to_row_cast"] = lambda j, fields: _from_json(j, f"struct<{fields}>")
 
 
+for _n in ("array", "map", "row"):
+    FUNCTIONS[f"$internal$json_string_to_{_n}_cast"] = FUNCTIONS[f"json_string_to_{_n}_cast"]
+
+
 @fn
 def json_array_get(j, i: int) -> Column:
     """From 0, or from the end if negative."""

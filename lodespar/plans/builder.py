@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from lodespar import operators as O
-from lodespar.sources import read_files, write_table
+from lodespar.sources import read_files, tpch_table, write_table
 
 
 class Plan:
@@ -39,6 +39,10 @@ class Plan:
     def values(self, rows: Sequence, schema: str, repeat: int = 1) -> Plan:
         return self._to(O.values(self.spark, rows, schema, repeat))
 
+    def tpch_gen(self, table: str, columns: Sequence[str] | None = None, scale: float = 0.01, seed: int = 0, partitions: int | None = None) -> Plan:
+        df = tpch_table(self.spark, table, scale, seed, partitions)
+        return self._to(df.select(*columns) if columns else df)
+
     def arrow(self, table) -> Plan:
         return self._to(self.spark.createDataFrame(table))
 
