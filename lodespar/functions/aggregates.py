@@ -34,7 +34,7 @@ def fn(g: Callable) -> Callable:
 SAME = {
     **{n: n for n in ("avg", "bool_and", "bool_or", "every", "count", "count_if", "covar_pop", "covar_samp", "corr", "regr_intercept", "regr_slope", "regr_count", "regr_avgy", "regr_avgx", "regr_sxy", "regr_sxx", "regr_syy", "regr_r2", "skewness", "sum", "stddev", "stddev_pop", "stddev_samp", "variance", "var_pop", "var_samp")},
     "bitwise_or_agg": "bit_or", "bitwise_and_agg": "bit_and", "bitwise_xor_agg": "bit_xor", "approx_set": "hll_sketch_agg", "merge": "hll_union_agg", "numeric_histogram": "histogram_numeric",
-    "qdigest_agg": "kll_sketch_agg_double",
+    "qdigest_agg": "kll_sketch_agg_double", "tdigest_agg": "kll_sketch_agg_double",
 }
 for _here, _there in SAME.items():
     if hasattr(F, _there):
@@ -42,7 +42,7 @@ for _here, _there in SAME.items():
 
 
 @fn
-def tdigest_agg(x, compression: int = 200) -> Column:
+def digest_agg(x, compression: int = 200) -> Column:
     """A digest of centroids, on which the functions of digests work; made by partial sums, so a group of any size takes as many centroids."""
     x = _c(x).cast("double")
     places = F.histogram_numeric(x, F.lit(compression))

@@ -1,9 +1,9 @@
 """Sketches of sets and of distributions.
 
 Sets are HyperLogLog sketches of Spark. Distributions are Spark's KLL sketches
-(made by qdigest_agg), or digests of centroids: structs of means and counts with
-the least and largest value, made by tdigest_agg and construct_digest, on which
-array functions work.
+(made by tdigest_agg and qdigest_agg), or digests of centroids: structs of means
+and counts with the least and largest value, made by digest_agg and
+construct_digest, on which array functions work.
 """
 
 from __future__ import annotations

@@ -192,7 +192,7 @@ def stream_numbered(spark, d):
 def text_forms(spark, d):
     c, s = _t(spark, d, "customer"), F.left("c_name", F.lit(12))
     spark_ = lambda name, *a: call("spark", name, *a)
-    whole = _t(spark, d, "lineitem").agg(call("ansi", "tdigest_agg", "l_quantity").alias("g"), F.percentile("l_quantity", 0.5).alias("m"))
+    whole = _t(spark, d, "lineitem").agg(call("ansi", "digest_agg", "l_quantity").alias("g"), F.percentile("l_quantity", 0.5).alias("m"))
     near = whole.select(F.abs(call("ansi", "value_at_quantile_digest", F.col("g"), 0.5) - F.col("m")) < 1).first()[0]
     return c.select(
         F.col("c_custkey").alias("k"), spark_("read_side_padding", s, 14).alias("pad"), spark_("varchar_type_write_side_check", F.concat(s, F.lit("   ")), 12).alias("var"), spark_("char_type_write_side_check", s, 14).alias("chr"), spark_("hive_bucket", 16, F.col("c_custkey").cast("int")).cast("bigint").alias("hive"),
