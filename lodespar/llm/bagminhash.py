@@ -19,20 +19,24 @@ every other class of the bucket is a candidate of these: links in proportion to
 the rows, whatever a bucket's size. Each
 class first verifies its most frequent candidate by exact multiset overlap,
 and then all candidates that still lead to other groups. The classes of buckets
-that still span several groups are then joined exactly. By their prefixes they
-fall into families: each class lists its shingles from rare to common, and the
-first common shingle of two similar classes has so much of both behind it that
-only about the rarest fifth of a class, and ninth of the smaller one, can hold
-it; groups that share such a shingle belong to one family, so similar classes
-do. A family's rows are dealt into blocks of a bounded size, and the overlaps of
-all classes of different groups in two blocks are counted inside a task, which
-sends no pairs, only as many links as join its groups. So no similar pair that
-shares a bucket stays in two groups. Groups are connected components of links.
+that still span several groups are then joined exactly. Groups that such buckets
+lead to each other belong to one family, so all pairs that share a bucket do. A
+family of up to a block's size is compared in full inside one task, to which
+each of its rows is sent once. A larger one is split by prefixes first: each
+class lists its shingles from rare to common, and the first common shingle of
+two similar classes has so much of both behind it that only about the rarest
+fifth of a class, and ninth of the smaller one, can hold it; groups that share
+such a shingle stay together, so similar classes do. What is still larger is
+compared bucket by bucket, or, where that sends less, dealt into blocks of a
+bounded size, of which all meet all. The overlaps of all classes of different
+groups in two blocks are counted inside a task, which sends no pairs, only as
+many links as join its groups. So no similar pair that shares a bucket stays in
+two groups. Groups are connected components of links.
 
 How common a shingle is, is counted in a table of a fixed size; that only orders
-the shingles, and any order gives the same links. In a family of many small
-groups that share even their rarest shingles all blocks meet all, so its time
-and what it sends grow with the square of its number of blocks.
+the shingles, and any order gives the same links. In one bucket of far more than
+a block of small groups that share even their rarest shingles all blocks meet
+all, so its time and what it sends grow with the square of its blocks.
 
 Edge cases: null and empty texts have no shingle and stay alone. A text of
 fewer than five words is one shingle of all its words. A similarity of just 0.8
@@ -46,7 +50,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _util
@@ -167,11 +171,25 @@ def _verify(batches):
         yield pa.record_batch([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
 
+def _elements(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and item of each element of a column of sets."""
+    size = np.asarray(col.value_lengths()).astype(np.int64)
+    return np.repeat(np.arange(len(col)), size), col.flatten().to_numpy().view(U)
+
+
+def _pieces(batches):
+    """Slices of batches of sets, as _tiles cuts them."""
+    for batch in batches:
+        for tile in _tiles(np.asarray(batch.column("items").value_lengths()), np.arange(batch.num_rows)):
+            yield batch.slice(tile[0], len(tile))
+    _util.trim()
+
+
 def _tally(batches):
-    """Per cell the number of texts' distinct shingles in it."""
+    """Per cell the number of elements of sets in it."""
     total = np.zeros(CELLS, np.int64)
-    for batch in _util.steps(batches, "text"):
-        item = shingles(Words.of(batch.column("text")), SHINGLE)[1]
+    for batch in _pieces(batches):
+        item = _elements(batch.column("items"))[1]
         total += np.bincount((item & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
     cell = np.flatnonzero(total)
     yield pa.record_batch([pa.array(cell, pa.int64()), pa.array(total[cell], pa.int64())], names=["cell", "n"])
@@ -192,9 +210,9 @@ def prefixes(row: np.ndarray, item: np.ndarray, count: np.ndarray, common: np.nd
 
 
 def _families(rows: DataFrame) -> DataFrame:
-    """rows: key, component, text. Per component that shares a shingle of its prefixes with another: component, family (the smallest component it leads to by these)."""
+    """rows: family, component, items (sets). Per component that shares an item of its prefixes with another of its family: component, family (the smallest component it leads to by these)."""
     spark = rows.sparkSession
-    tally = rows.select("text").mapInArrow(_tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    tally = rows.select("items").mapInArrow(_tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(CELLS, np.int64)
     common[tally.column("cell").to_numpy()] = tally.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(common)
@@ -202,15 +220,16 @@ def _families(rows: DataFrame) -> DataFrame:
     share = THRESHOLD / (1 + THRESHOLD)
 
     def run(batches):
-        for batch in _util.steps(batches, "text"):
-            row, item, count = shingles(Words.of(batch.column("text")), SHINGLE)
-            at, behind, weight = prefixes(row, item, count, shared.value)
-            yield pa.record_batch([pa.array(item[at].view(np.int64)), batch.column("component").take(pa.array(row[at])), pa.array(behind >= 2 * share * weight - 1e-6)], names=["item", "component", "first"])
+        for batch in _pieces(batches):
+            row, item = _elements(batch.column("items"))
+            at, behind, weight = prefixes(row, item, np.ones(len(item), np.int64), shared.value)
+            which = pa.array(row[at])
+            yield pa.record_batch([batch.column("family").take(which), pa.array(item[at].view(np.int64)), batch.column("component").take(which), pa.array(behind >= 2 * share * weight - 1e-6)], names=["family", "item", "component", "first"])
 
-    listed = rows.mapInArrow(run, "item bigint, component bigint, first boolean").groupBy("item", "component").agg(F.max("first").alias("first"))
+    listed = rows.select("family", "component", "items").mapInArrow(run, "family bigint, item bigint, component bigint, first boolean").groupBy("family", "item", "component").agg(F.max("first").alias("first"))
     listed = _util.cut(listed)
-    least = listed.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first")).where("low < high and first").select("item", "low")
-    links = listed.join(least, "item").select(F.col("component").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+    least = listed.groupBy("family", "item").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("first").alias("first")).where("low < high and first").select("family", "item", "low")
+    links = listed.join(least, ["family", "item"]).select(F.col("component").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
     out = _util.cut(components(links)).select(F.col("node").alias("component"), F.col("component").alias("family"))
     _util.drop_cut(listed)
     return out
@@ -225,7 +244,7 @@ def _multisets(batches):
         x, row = mix(item[at] + U(_GOLD) * again.astype(U)).view(np.int64), row[at]
         ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
         items = pa.ListArray.from_arrays(pa.array(ends), pa.array(x[np.lexsort((x, row))]))
-        yield pa.record_batch([batch.column("key"), batch.column("family"), batch.column("component"), items], names=["key", "family", "component", "items"])
+        yield pa.record_batch([batch.column("key"), batch.column("component"), items, items.value_lengths()], names=["key", "component", "items", "n"])
 
 
 def _tiles(size: np.ndarray, which: np.ndarray) -> list[np.ndarray]:
@@ -294,31 +313,69 @@ def _links_between(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _family_links(texts: DataFrame, families: DataFrame) -> DataFrame:
-    """texts: key, component, text. Links between the components of each family.
+def _family_links(texts: DataFrame, families: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
+    """texts: key, component, text; families: component, family; buckets: bucket, key. Links between the components of each family.
 
     Rows of a family are dealt into blocks, large components into blocks of
     their own, and each pair of blocks that can hold a link is compared inside
-    one task, so no pair of rows is ever sent.
+    one task, so no pair of rows is ever sent. With buckets, families of more
+    than a block are split by prefixes first, and what is still larger than a
+    block is compared bucket by bucket where that sends less: a row of a family
+    goes to all its blocks, a row of buckets to those of its own few.
     """
-    rows = _util.cut(texts.join(families, "component").select("key", "family", "component", "text").mapInArrow(_multisets, "key bigint, family bigint, component bigint, items array<bigint>"))
-    n = F.size("items").cast("bigint")
-    sizes = rows.groupBy("family", "component").agg(F.sum(n).alias("items"), F.count(F.lit(1)).alias("rows"))
-    blocks = F.ceil(F.greatest(F.col("items") / BLOCK_ITEMS, F.col("rows") / BLOCK_ROWS)).cast("int")
+    sets = _util.cut(texts.select("key", "component", "text").mapInArrow(_multisets, "key bigint, component bigint, items array<bigint>, n int"))
+    # key, component, n and family: where each row is to be compared
+    members = sets.select("key", "component", F.col("n").cast("bigint").alias("n")).join(families, "component")
+    if buckets is not None:
+        members = _split(sets, families, members, buckets)
+    sizes = members.groupBy("family", "component").agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("rows"))
     sizes = sizes.withColumn("large", (F.col("items") > BLOCK_ITEMS) | (F.col("rows") > BLOCK_ROWS))
     # a block is (component, number), with a null component for those of many small components
-    of = sizes.groupBy("family", F.when(F.col("large"), F.col("component")).alias("of")).agg(F.sum("items").alias("items"), F.sum("rows").alias("rows")).select("family", "of", blocks.alias("blocks"))
+    of = sizes.groupBy("family", F.when(F.col("large"), F.col("component")).alias("of")).agg(F.sum("items").alias("items"), F.sum("rows").alias("rows")).select("family", "of", _blocks().alias("blocks"))
     all_ = of.select("family", "of", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).groupBy("family").agg(F.collect_list(F.struct("of", "block")).alias("all"))
     dealt = sizes.select("family", "component", F.when(F.col("large"), F.col("component")).alias("of"))
-    dealt = dealt.join(of, (dealt["family"] == of["family"]) & dealt["of"].eqNullSafe(of["of"])).select("component", dealt["of"], "blocks", dealt["family"]).join(all_, "family").drop("family")
+    dealt = dealt.join(of, (dealt["family"] == of["family"]) & dealt["of"].eqNullSafe(of["of"])).select("component", dealt["of"], "blocks", dealt["family"]).join(all_, "family")
     own = F.pmod(F.xxhash64(F.lit(5), F.when(F.col("of").isNull(), F.col("component")).otherwise(F.col("key"))), F.col("blocks")).cast("int")
-    placed = rows.join(dealt, "component").withColumn("own", F.struct("of", own.alias("block")))
+    placed = members.join(dealt, ["family", "component"]).withColumn("own", F.struct("of", own.alias("block")))
     other = F.filter("all", lambda e: e["of"].isNull() | ~e["of"].eqNullSafe(F.col("own.of")))
-    sent = placed.select("family", "key", "component", "items", "own", F.explode(other).alias("o"))
-    sent = sent.select("family", "key", "component", "items", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).alias("side"))
+    sent = placed.select("family", "key", "own", F.explode(other).alias("o"))
+    sent = sent.select("key", F.struct("family", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), (F.col("own") > F.col("o")).alias("side")).alias("to"))
+    # the sets themselves are shuffled to meet their places once, then to these
+    sent = sets.select("key", "component", "items").join(sent.groupBy("key").agg(F.collect_list("to").alias("to")), "key").select("key", "component", "items", F.inline("to"))
     return sent.groupBy("family", "p", "q").applyInArrow(_links_between, "a bigint, b bigint")
 
 
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.col("items") / BLOCK_ITEMS, F.col("rows") / BLOCK_ROWS)).cast("int")
+
+
+def _split(sets: DataFrame, families: DataFrame, members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """members with families of more than a block in smaller parts: by prefixes, and then by buckets where these are less to send."""
+    sums = [F.sum("n").alias("items"), F.count(F.lit(1)).alias("rows")]
+    wide = _util.cut(members.groupBy("family").agg(*sums).where(_blocks() > 1).select("family"))
+    if wide.isEmpty():
+        return members
+    narrow = members.join(wide, "family", "left_anti")
+    finer = _families(sets.join(families.join(wide, "family", "left_semi"), "component"))
+    parts = _util.cut(sets.select("key", "component", F.col("n").cast("bigint").alias("n")).join(finer, "component"))
+    total = parts.groupBy("family").agg(*sums).select("family", "items", _blocks().alias("blocks")).where("blocks > 1").select("family", (F.col("items") * F.col("blocks")).alias("cost"))
+    shared = parts.join(total.select("family"), "family", "left_semi").join(buckets, "key").select("key", "component", "n", "family", "bucket")
+    by = shared.groupBy("family", "bucket").agg(*sums, F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("family", "bucket", (F.col("items") * _blocks()).alias("each"))
+    each = by.groupBy("family").agg(F.sum("each").alias("each"))
+    cheap = _util.cut(total.join(each, "family", "left").where(F.coalesce("each", F.lit(0)) < F.col("cost")).select("family"))
+    dealt = shared.join(by.join(cheap, "family", "left_semi"), ["family", "bucket"]).select("key", "component", "n", F.xxhash64("family", "bucket").alias("family"))
+    rest = parts.join(cheap, "family", "left_anti")
+    cols = ["key", "component", "n", "family"]
+    return narrow.select(cols).unionByName(rest.select(cols)).unionByName(dealt)
+
+
+def bucket_families(held: DataFrame, most_links: int | None = None) -> DataFrame:
+    """held: bucket, component. Per component that shares a bucket with another: component, family (the smallest component it leads to by these)."""
+    low = held.groupBy("bucket").agg(F.min("component").alias("low"))
+    links = held.join(low, "bucket").select(F.col("component").alias("a"), F.col("low").alias("b"))
+    return components(links, most_links).select(F.col("node").alias("component"), F.col("component").alias("family"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: row (its number, see number_rows), id, class key (null without a word) and component (the smallest class key of its group)."""
     spark = docs.sparkSession
@@ -383,13 +440,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # the classes of buckets that still hold several groups
     held = shared.join(comp.select(F.col("node").alias("key"), "component"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
     several = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    mixed = _util.cut(held.join(several, "bucket", "left_semi").select("key", "component").distinct(), most)
+    mixed = _util.cut(held.join(several, "bucket", "left_semi").select("bucket", "key", "component"), most)
     if not mixed.isEmpty():
-        texts = texts_of(mixed.select("key", F.array("component").alias("to")))
+        texts = texts_of(mixed.select("key", F.array("component").alias("to")).distinct())
         named = texts.select("key", F.get("to", F.lit(0)).alias("component"), "text")
-        links = _util.cut(_family_links(named, _families(named)))
+        families = _util.cut(bucket_families(mixed, most), most)
+        links = _util.cut(_family_links(named, families, mixed.select("bucket", "key")))
         comp = _merge(comp, links, grouped, most)
-        for done in (texts, links):
+        for done in (texts, families, links):
             _util.drop_cut(done)
     for done in (buckets, shared, candidates, best, mixed):
         _util.drop_cut(done)

@@ -277,3 +277,37 @@ def test_held_out_is_never_null(spark, tmp_path):
     spark.createDataFrame([(None, "you are kind"), (1, None), (2, "x y z")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert {r.held_out for r in queries.op3_toxicity(spark, str(tmp_path)).collect()} <= {True, False}
+
+
+def test_families_send_rows_to_their_buckets_only(spark, monkeypatch, tmp_path):
+    """Groups of four texts of similarity 0.7, in a ring by rare passages of two texts: rows meet those of their buckets, not the whole ring."""
+    monkeypatch.setattr(bagminhash, "BLOCK_ROWS", 8)
+    seen, compare = str(tmp_path / "rows"), bagminhash._links_between
+
+    def counted(key, table):
+        with open(seen, "a") as f:
+            f.write(f"{table.num_rows}\n")
+        return compare(key, table)
+
+    monkeypatch.setattr(bagminhash, "_links_between", counted)
+    words = lambda n, *k: [f"{'x'.join(map(str, k))}y{i}" for i in range(n)]
+    texts = [" ".join(words(247, "own", i) + words(27, i, j) + words(27, (i + 1) % 30, j)) for i in range(30) for j in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert all(r.id == r.component_id for r in bagminhash.deduplicated(docs).collect())
+    assert 60 <= sum(map(int, open(seen))) <= 200
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_large_families_by_buckets(spark, monkeypatch, shared):
+    """Pairs of similar texts, all in one family that is larger than a block: split by prefixes, or where all share rare shingles, compared bucket by bucket."""
+    monkeypatch.setattr(bagminhash, "BLOCK_ROWS", 4)
+    words = lambda n, k: [f"{k}y{i}" for i in range(n)]
+    passage = lambda i: words(20, f"p{i if shared else i // 2}") + words(20, f"p{(i + 1) % 40 if shared else i // 2}")
+    texts = [passage(i) + words(160, f"own{i // 2 * 2}" if i % 2 == 0 or i % 4 == 1 else f"own{i}") for i in range(40)]
+    rows = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "key bigint, component bigint, text string")
+    families = spark.createDataFrame([(i, 0) for i in range(40)], "component bigint, family bigint")
+    buckets = spark.createDataFrame([(i // 2, i) for i in range(40)] + [(100 + i // 4, i) for i in range(40)], "bucket bigint, key bigint")
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in bagminhash._family_links(rows, families, buckets).collect()}
+    bags = [set(zip(*[t[k:] for k in range(5)])) for t in texts]
+    similar = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])}
+    assert links == similar and (shared or similar)
