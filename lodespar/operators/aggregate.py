@@ -48,7 +48,9 @@ class partial_state:
     mean, and the sums of the second to fourth powers around the mean) and
     pairs (n, both means, both sums of squares and that of products around
     them), which merge by the pairwise rules; a sketch; or the value itself.
-    Kinds of two inputs take a struct of x and y (or of value and key).
+    Kinds of two inputs take a struct of x and y (or of value and key). Of
+    equal keys max_by takes the largest value and min_by the smallest; a key of
+    several fields decides otherwise.
     """
 
     #: What merges as it is made: kind -> its aggregate.
