@@ -2,7 +2,8 @@
 
 FUNCTIONS give a column for agg(). Aggregates whose state is a table of
 values (histogram, map_union_sum, classification curves) have a form on
-DataFrames too, which counts before it gathers: use those for large groups.
+DataFrames too, which counts before it gathers: use those for large groups, and
+in_parts() and reduces() where the values of a group are all gathered.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from lodespar.shipping import arrow_column
 
@@ -102,7 +104,8 @@ def set_agg(x) -> Column:
 
 @fn
 def set_union(a) -> Column:
-    return F.array_distinct(F.flatten(F.collect_list(a)))
+    """Equal arrays are held once."""
+    return F.array_distinct(F.flatten(F.collect_set(a)))
 
 
 #: The primes of 64-bit XXHash that a checksum is made of.
@@ -188,24 +191,31 @@ def kurtosis(x) -> Column:
     return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k - 3 * (n - 1)))
 
 
+def _ends(x: Column, n: int, largest: bool) -> Column:
+    """The n least or largest values in order, nulls left out; a task holds n of a group, not its values."""
+    if n < 1:
+        return F.slice(F.sort_array(F.collect_list(x)), 1, n)
+    return InternalFunction.collect_top_k(x, n, not largest)
+
+
 @fn
 def min_by(x, y, n: int | None = None) -> Column:
-    return F.min_by(x, y) if n is None else F.transform(F.slice(F.sort_array(F.collect_list(F.struct(_c(y).alias("y"), _c(x).alias("x")))), 1, n), lambda s: s["x"])
+    return F.min_by(x, y) if n is None else F.transform(_ends(F.struct(_c(y).alias("y"), _c(x).alias("x")), n, False), lambda s: s["x"])
 
 
 @fn
 def max_by(x, y, n: int | None = None) -> Column:
-    return F.max_by(x, y) if n is None else F.transform(F.slice(F.sort_array(F.collect_list(F.struct(_c(y).alias("y"), _c(x).alias("x"))), asc=False), 1, n), lambda s: s["x"])
+    return F.max_by(x, y) if n is None else F.transform(_ends(F.struct(_c(y).alias("y"), _c(x).alias("x")), n, True), lambda s: s["x"])
 
 
 @fn
 def min_(x, n: int | None = None) -> Column:
-    return F.min(x) if n is None else F.slice(F.sort_array(F.collect_list(x)), 1, n)
+    return F.min(x) if n is None else _ends(_c(x), n, False)
 
 
 @fn
 def max_(x, n: int | None = None) -> Column:
-    return F.max(x) if n is None else F.slice(F.sort_array(F.collect_list(x), asc=False), 1, n)
+    return F.max(x) if n is None else _ends(_c(x), n, True)
 
 
 def _let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -268,7 +278,7 @@ def map_union_sum(m) -> Column:
 
 @fn
 def reduce_agg(x, initial: Column, f: Callable, g: Callable | None = None) -> Column:
-    """Folds the values of a group, which must fit a task."""
+    """Folds the values of a group, which must fit a task; for large groups use reduces()."""
     return F.aggregate(F.collect_list(x), initial, f)
 
 
@@ -330,6 +340,24 @@ def multimaps(df: DataFrame, keys: Sequence[str], k: str, v: str, name: str = "m
     return lists.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(k, "__v"))).alias(name))
 
 
+def in_parts(df: DataFrame, keys: Sequence[str], part: dict[str, Column], whole: dict[str, Column]) -> DataFrame:
+    """Per group the aggregates whole of those that part gives, under its names, for each 4096 rows as they stand."""
+    parts = df.withColumn("__part", F.shiftright(F.monotonically_increasing_id(), 12)).groupBy(*keys, "__part").agg(*[c.alias(n) for n, c in part.items()])
+    return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in whole.items()])
+
+
+def reduces(df: DataFrame, keys: Sequence[str], x: str, initial: Column, f: Callable, g: Callable, name: str = "reduced") -> DataFrame:
+    """reduce_agg of groups of any size: f folds 4096 values as they stand from initial, g the results, 4096 at once."""
+    now = df.select(*keys, F.col(x).alias("__x"), F.monotonically_increasing_id().alias("__at"))
+    for level in range(5):  # ids have 63 bits
+        last, fold = level == 4, f if level == 0 else g
+        by = [] if last else [F.shiftright("__at", 12).alias("__at")]
+        values = F.collect_list("__x")
+        first = F.aggregate(values, initial, fold) if level == 0 else F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), fold)
+        now = now.groupBy(*keys, *by).agg(first.alias(name if last else "__x"))
+    return now
+
+
 def classification(df: DataFrame, keys: Sequence[str], buckets: int, outcome: str, prediction: str, weight: str | None = None) -> DataFrame:
     """Per group the curves thresholds, precision, recall, fall_out and miss_rate over equal buckets of predictions in [0, 1].
 

@@ -25,7 +25,7 @@ def twice(spark, sf_dir, tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["rel_partial_states", "rel_join_left_semi_project_condition_null_aware"])
+@pytest.mark.parametrize("name", ["rel_partial_states", "rel_join_left_semi_project_condition_null_aware", "ansi_aggregates"])
 def test_query_with_ties(name, spark, twice):
     d, con = twice
     got, want = registry.queries()[name](spark, d).toArrow(), con.sql(registry.oracle_sql()[name]).to_arrow_table()

@@ -124,3 +124,24 @@ def test_lengths_of_text(spark):
         with pytest.raises(Exception, match="exceeds"):
             one(spark, q(name, F.lit("abcd"), 3))
     assert one(spark, q("char_type_write_side_check", F.lit("a"), 3)) == "a  " and one(spark, q("read_side_padding", F.lit("abcd"), 3)) == "abcd"
+
+
+def test_groups_in_parts(spark):
+    """Groups of more rows than a part, null keys and null values, as the plain aggregates give them."""
+    from lodespar.functions import aggregates as A
+
+    df = spark.range(0, 30_000, 1, 3).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("x"))
+    add = lambda s, v: s + v
+    size = F.size(p("array_agg", "x"))
+    plain = {r.g: r for r in df.groupBy("g").agg(size.alias("n"), F.sum("x").alias("s")).collect()}
+    assert {r.g: r.n for r in A.in_parts(df, ["g"], {"n": size}, {"n": F.sum("n")}).collect()} == {g: r.n for g, r in plain.items()}
+    assert {r.g: r.r for r in A.reduces(df, ["g"], "x", F.lit(0).cast("bigint"), add, add, "r").collect()} == {g: r.s for g, r in plain.items()}
+
+
+@pytest.mark.parametrize("n", [1, 3, 50])
+def test_ends_hold_no_group(spark, n):
+    df = spark.createDataFrame([(x,) for x in (3, None, 1, 3, 2, 9)], "x int").withColumn("y", -F.col("x"))
+    got = df.agg(p("max", "x", n).alias("a"), p("min", "x", n).alias("b"), p("max_by", "x", "y", n).alias("c"), p("min_by", "x", "y", n).alias("d"))
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    low = [1, 2, 3, 3, 9]
+    assert tuple(got.first()) == (low[::-1][:n], low[:n], [*low, None][:n], [None, *low[::-1]][:n])
