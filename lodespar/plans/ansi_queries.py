@@ -33,6 +33,12 @@ def _cols(df: DataFrame, keys, cols: dict) -> DataFrame:
     return df.select(*keys, *[c.alias(n) for n, c in cols.items()])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where a small file would put much work per row into few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _b(c):
     return c.cast("bigint")
 
@@ -154,6 +160,7 @@ _SIDES = "select c_custkey k, (c_custkey % 50)::double x, (c_nationkey + 1)::dou
 def shapes(spark, d):
     """Rectangles of sides x and y from the origin."""
     c = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 50).cast("double").alias("x"), (F.col("c_nationkey") + 1).cast("double").alias("y")).where("x > 0")
+    c = _spread(c)
     text = F.format_string("POLYGON ((0 0, %.1f 0, %.1f %.1f, 0 %.1f, 0 0))", "x", "x", "y", "y")
     moved = F.format_string("POLYGON ((%.2f 0, %.1f 0, %.1f %.1f, %.2f %.1f, %.2f 0))", F.col("x") / 2, F.col("x") + 5, F.col("x") + 5, "y", F.col("x") / 2, "y", F.col("x") / 2)
     beside = F.format_string("POLYGON ((%.1f 0, %.1f 0, %.1f %.1f, %.1f %.1f, %.1f 0))", "x", F.col("x") + 5, F.col("x") + 5, "y", "x", "y", "x")

@@ -63,3 +63,25 @@ def test_tiles(spark):
     assert g.dissolved_tiles(inner, 3) == [g._tile(0, 0, 0)]
     x = spark.range(1).select(call("ansi", "bing_tile_at", 10.0, 20.0, 7).alias("a"), call("ansi", "bing_tiles_around", F.lit(10.0), F.lit(20.0), F.lit(7)).alias("b")).first()
     assert x.a in x.b and g._tile_at(20.0, 10.0, 7) == g._untile(x.a)[:2]
+
+
+def test_equal_arguments_are_worked_out_once():
+    import pyarrow as pa
+
+    calls, kept = [], {}
+    cols = (pa.array([b"a", None, b"a", b"b", b"a"] * 40), pa.array([0.0, 1.0, 0.0, float("nan"), -0.0] * 40), pa.array([[b"x"], [], None, [b"x"], [b"x"]] * 40, pa.list_(pa.binary())), pa.nulls(200))
+    want = [repr(r) for r in zip(*[c.to_pylist() for c in cols])]
+    one = lambda row: calls.append(row) or repr(row)
+    assert g._each(one, cols, kept) == want and len(calls) == 5
+    assert g._each(one, cols, kept) == want and len(calls) == 5
+    large = (pa.array([b"z" * 1000] * 9),)
+    assert g._each(one, large, kept) == g._each(one, large, kept) and len(calls) == 7
+    many = (pa.array(range(5000)),)
+    assert g._each(lambda row: row[0], many, kept) == list(range(5000)) and len(kept) <= g.KEPT
+    assert g._each(one, (pa.array([], pa.float64()),), kept) == []
+
+
+def test_few_tasks_are_spread(spark, sf_dir):
+    from lodespar.plans import ansi_queries
+
+    assert ansi_queries.shapes(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
