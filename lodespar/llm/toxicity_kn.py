@@ -8,29 +8,31 @@ known ones are judged by the stem. A letter that no class has seen after a
 history takes the shared probability from both sides, and what remains of the
 comparison is the ratio of the two back-off weights.
 
-The counts are taken over the whole texts of all labelled documents, by word
-first; the models take about the MAX_WORDS words that stand there most often,
-half of them by toxic and half by ordinary texts, so what they hold is bounded
-and what they count grows with the input.
+The counts are taken over the whole texts of all labelled documents and all of
+their words. A model needs no words, only their distinct runs of ORDER bytes
+with how often each stands in texts of a class: of these there are far fewer
+than words, and they are all that the driver takes.
 
 The score of a text is a logistic function of length-normalised
 log-likelihood differences: of the whole text by its letters, and of the
-words that speak most for toxicity. It is calibrated on labelled documents
-by models that have not seen them.
+words that speak most for toxicity. It is calibrated on all labelled documents
+by models that have not seen them; each step of its fit sums over their table.
 
 Edge cases: null and empty texts have no word; their differences are 0 and
 their score is what the calibration gives for that. Rows repeat as given; null
 ids are kept. Of several labels with one id the higher counts, and each text
 with that id has it. Without labels of both classes every score is 0. A word of
-any length and a text of any length is read whole. Words that stand equally
-often are taken in the order of a hash. Other columns don't matter.
+any length and a text of any length is read whole. Other columns don't matter.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _util
@@ -42,9 +44,8 @@ ORDER = 6
 DISCOUNT = 0.75
 #: Log-likelihood difference of a word from which on it speaks for toxicity.
 MARGIN = 2.0
-#: Bounds of the labelled rows that the calibration learns from, by class, and of their texts' bytes; of the words in a model.
-MAX_ROWS, MAX_BYTES = 4000, 32 << 20
-MAX_WORDS = 320_000
+#: Rows of counts that a task adds up before it sends them.
+HELD = 1 << 19
 FOLDS = 3
 
 _GAP = np.ones(256, bool)
@@ -107,13 +108,43 @@ def _look(keys: np.ndarray, table: np.ndarray, values: np.ndarray, default: floa
     return np.where(table[i] == keys, values[i], default)
 
 
+def _run_keys(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of packed words: for each letter after a begin mark the run of at most ORDER bytes that ends there, as a number of its bytes (none is 0), and the word's number."""
+    _, at, word = _letters(raw, offs)
+    keys = np.zeros(len(at), np.int64)
+    for k in range(ORDER):
+        inside = at - k >= offs[word]
+        keys[inside] |= raw[at[inside] - k].astype(np.int64) << 8 * k
+    return keys, word
+
+
+def _add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of each key's columns of counts."""
+    u, inv = np.unique(keys, return_inverse=True)
+    return u, np.stack([np.bincount(inv, c, len(u)) for c in counts])
+
+
 class Model:
     """Tables of the log ratio of a letter after its history: of seen runs, and of histories for runs that are not seen."""
 
     def __init__(self, words: list[bytes], toxic: np.ndarray, ordinary: np.ndarray):
         raw = np.frombuffer(b"".join(bytes([_BEGIN]) + x + bytes([_END]) for x in words), np.uint8)
-        offs = np.concatenate(([0], np.cumsum([len(x) + 2 for x in words]))).astype(np.int64)
-        w, at, word = _letters(raw, offs)
+        keys, word = _run_keys(raw, np.concatenate(([0], np.cumsum([len(x) + 2 for x in words]))).astype(np.int64))
+        self._fit(*_add(keys, np.stack((toxic[word], ordinary[word]))))
+
+    @classmethod
+    def of_runs(cls, keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+        """keys: the distinct runs of the words, in rising order; toxic, ordinary: how often each stands."""
+        out = cls.__new__(cls)
+        out._fit(keys, np.stack((toxic, ordinary)))
+        return out
+
+    def _fit(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        # shorter runs are the ends of runs, so what distinct words give, distinct runs give too
+        letters = keys.astype(">i8").view(np.uint8).reshape(-1, 8)
+        offs = np.concatenate(([0], np.cumsum((letters > 0).sum(1)))).astype(np.int64)
+        w = Words(letters[letters > 0], offs, np.zeros(256, bool))
+        at, word = offs[1:] - 1, np.arange(len(keys))
         # shared continuation counts, from the shortest history up: each distinct run of n + 1 letters adds one to its run of n
         shared: tuple[np.ndarray, np.ndarray] | None = None
         lower = np.full(len(at), 1 / 256)
@@ -132,8 +163,8 @@ class Model:
         g, first = np.unique(gram, return_index=True)
         base, gh = lower[first], hist[first]
         logs, weights = [], []
-        for counts in (toxic, ordinary):
-            c = _sum(gram, counts[word].astype(float))[1]
+        for count in counts:
+            c = _sum(gram, count.astype(float))[1]
             hk, hn = _sum(gh, c)
             kinds = _sum(gh, (c > 0).astype(float))[1]
             back = np.where(hn > 0, DISCOUNT * kinds / np.maximum(hn, 1), 1.0)
@@ -169,15 +200,21 @@ class Model:
         return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps, for few columns."""
+def _sums(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Gradient and negative second derivatives of the log-likelihood at t, in a row."""
     a = np.column_stack((np.ones(len(x)), x))
-    t = np.zeros(a.shape[1])
-    ridge = np.array([0.0] + [0.1] * x.shape[1])
+    p = 1 / (1 + np.exp(-np.clip(a @ t, -30, 30)))
+    return np.concatenate((a.T @ (y - p), ((a * (p * (1 - p))[:, None]).T @ a).ravel()))
+
+
+def _logistic(sums: Callable[[np.ndarray], np.ndarray], columns: int) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, for few columns. sums: _sums over all rows, at some weights."""
+    t = np.zeros(columns + 1)
+    ridge = np.array([0.0] + [0.1] * columns)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ t, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-6)
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge * t)
+        both = sums(t)
+        h = both[columns + 1 :].reshape(columns + 1, columns + 1) + np.diag(ridge + 1e-6)
+        step = np.linalg.solve(h, both[: columns + 1] - ridge * t)
         t += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -199,89 +236,93 @@ class Scorer:
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
 
-def _often(words: DataFrame, total: str, most: int) -> Column:
-    """Whether a word is among about the given number that stand most often, by eighths of doublings of its total; of the last of these a share by a hash."""
-    step = F.floor(F.log2(F.col(total)) * 8)
-    held = sorted(words.where(F.col(total) > 0).groupBy(step.alias("step")).count().collect(), reverse=True)
-    for at, n in held:
-        if n > most:
-            return (F.col(total) > 0) & ((step > at) | ((step == at) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int((1 << 20) * most / n))))
-        most -= n
-    return F.col(total) > 0
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """docs: doc_id, text; labels: doc_id, toxic (others don't matter).
 
     The models count all labelled rows, dealt to FOLDS folds. The calibration
-    learns from at most max_rows of each class, those of the smallest hash of
-    the id whose texts have MAX_BYTES or less together: each fold is measured
-    by models of the other folds. The models of the scorer take all folds.
+    learns from all of them: each fold is measured by models of the other folds.
+    The models of the scorer take all folds.
     """
     spark = docs.sparkSession
     _util.ship(spark)
     docs = _util.steady(docs.select("doc_id", "text"))
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id")).withColumn("fold", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(FOLDS)).cast("int"))
-    known = _util.cut(known)
+    known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(FOLDS)).cast("int"))
     # each row's label by its number, so that no text is shuffled: 2 * fold + toxic
     marks = RowTable(docs.select("doc_id", F.monotonically_increasing_id().alias("row")).join(known, "doc_id").select("row", F.array((2 * F.col("fold") + F.col("toxic")).cast("bigint")).alias("to")))
     folder = marks.path
 
-    def count(batches):
+    def labelled(batches):
         for batch in _util.steps(batches, "text"):
             hit, _, label = find_rows(folder, batch.column("row").to_numpy())
-            if not hit.any():
-                continue
-            w = lower_words(batch.column("text").filter(pa.array(hit)))
+            if hit.any():
+                yield batch.column("text").filter(pa.array(hit)), label
+
+    def count(batches):
+        held, rows = [], 0
+
+        def send(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(keys), *(pa.array(c.astype(np.int64)) for c in counts)], names=["run", *numbers])
+
+        for text, label in labelled(batches):
+            w = lower_words(text)
             _, first, inv = np.unique(w.hashes(), return_index=True, return_inverse=True)
-            raw = w.raw.tobytes()
-            cols = [pa.array(np.bincount(inv, label[w.doc] == k, len(first)).astype(np.int64)) for k in range(2 * FOLDS)]
-            yield pa.record_batch([pa.array([raw[a:b] for a, b in zip(w.start[first], w.end[first])], pa.binary()), *cols], names=["word", *(f"n{k}" for k in range(2 * FOLDS))])
+            counts = np.bincount(inv * (2 * FOLDS) + label[w.doc], minlength=len(first) * 2 * FOLDS).reshape(-1, 2 * FOLDS).T
+            keys, word = _run_keys(*_pack(w, first))
+            held.append(_add(keys, counts[:, word]))
+            rows += len(held[-1][0])
+            if rows > HELD:
+                held = [_add(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held], 1))]
+                rows = len(held[0][0])
+                if rows > HELD // 2:
+                    yield send(*held.pop())
+                    rows = 0
+        if held:
+            yield send(*_add(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held], 1)))
 
     numbers = [f"n{k}" for k in range(2 * FOLDS)]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    words = rows.mapInArrow(count, "word binary, " + ", ".join(f"{n} bigint" for n in numbers)).groupBy("word").agg(*[F.sum(n).alias(n) for n in numbers])
-    words = _util.cut(words.withColumn("t0", sum((F.col(f"n{k}") for k in range(2, 2 * FOLDS, 2)), F.col("n0"))).withColumn("t1", sum((F.col(f"n{k}") for k in range(3, 2 * FOLDS, 2)), F.col("n1"))))
-    marks.drop()
-    top = words.where(_often(words, "t0", MAX_WORDS // 2) | _often(words, "t1", MAX_WORDS // 2)).drop("t0", "t1").toArrow()
-    _util.drop_cut(words)
-    listed = top.column("word").to_pylist()
-    order = sorted(range(len(listed)), key=listed.__getitem__)
-    listed = [listed[i] for i in order]
-    counts = np.stack([top.column(n).to_numpy() for n in numbers])[:, order] if listed else np.zeros((2 * FOLDS, 0), np.int64)
-    del top
-    picked = known.where("toxic = 1").orderBy("h", "doc_id").limit(max_rows).unionByName(known.where("toxic = 0").orderBy("h", "doc_id").limit(max_rows))
-    sample = _util.cut(_util.sample_texts(docs, picked, "toxic", MAX_BYTES))
+    runs = rows.mapInArrow(count, "run bigint, " + ", ".join(f"{n} bigint" for n in numbers)).groupBy("run").agg(*[F.sum(n).alias(n) for n in numbers]).toArrow().sort_by("run")
+    keys = runs.column("run").to_numpy()
+    counts = np.stack([runs.column(n).to_numpy() for n in numbers])
 
     def model(folds: list[int]) -> Model | None:
         ordinary, toxic = (counts[[2 * f + k for f in folds]].sum(0) for k in (0, 1))
         if not toxic.sum() or not ordinary.sum():
             return None
         seen = np.flatnonzero(toxic + ordinary)
-        return Model([listed[i] for i in seen], toxic[seen], ordinary[seen])
+        return Model.of_runs(keys[seen], toxic[seen], ordinary[seen])
 
     final = model(list(range(FOLDS)))
     if final is None:
+        marks.drop()
         return Scorer(None, None)
     others = {f: model([g for g in range(FOLDS) if g != f]) for f in range(FOLDS)}
     shared = spark.sparkContext.broadcast(others)
 
     def measure(batches):
-        for batch in _util.steps(batches, "text"):
-            w = lower_words(batch.column("text"))
-            fold = batch.column("fold").to_numpy()
-            f = np.full((batch.num_rows, 4), np.nan)
+        for text, label in labelled(batches):
             for k, m in shared.value.items():
-                if m is not None and (fold == k).any():
-                    f[fold == k] = m.features(w)[fold == k]
-            yield pa.record_batch([batch.column("toxic"), *(pa.array(f[:, j]) for j in range(4))], names=["toxic", "a", "b", "c", "d"])
-
-    rows = sample.select("text", "toxic", "fold").mapInArrow(measure, "toxic int, a double, b double, c double, d double").where("not isnan(a)").toArrow()
-    y = rows.column("toxic").to_numpy().astype(float)
-    x = np.column_stack([rows.column(k).to_numpy() for k in "abcd"]) if len(y) else np.zeros((0, 4))
-    order = np.lexsort((*x.T, y))
-    weights = _logistic(x[order], y[order]) if 0 < y.sum() < len(y) else np.array([-4.0, 0.0, 0.3, 1.5, -0.5])
+                mine = label // 2 == k
+                if m is not None and mine.any():
+                    f = m.features(lower_words(text.filter(pa.array(mine))))
+                    yield pa.record_batch([pa.array((label[mine] % 2).astype(np.float64)), *(pa.array(f[:, j]) for j in range(4))], names=list("yabcd"))
+
+    def step(t: np.ndarray) -> np.ndarray:
+        def run(batches):
+            out = np.zeros(5 + 25)
+            for batch in batches:
+                out += _sums(np.column_stack([batch.column(k).to_numpy() for k in "abcd"]), batch.column("y").to_numpy(), t)
+            yield pa.record_batch([pa.array([out.tolist()])], names=["v"])
+
+        # exact sums of one row a task, whatever their order
+        return np.array([math.fsum(c) for c in zip(*[r.v for r in table.mapInArrow(run, "v array<double>").collect()])])
+
+    table = _util.cut(rows.mapInArrow(measure, "y double, a double, b double, c double, d double"))
+    marks.drop()
+    n, toxic = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    weights = _logistic(step, 4) if 0 < toxic < n else np.array([-4.0, 0.0, 0.3, 1.5, -0.5])
+    _util.drop_cut(table)
     return Scorer(final, weights)
 
 

@@ -311,3 +311,24 @@ def test_large_families_by_buckets(spark, monkeypatch, shared):
     bags = [set(zip(*[t[k:] for k in range(5)])) for t in texts]
     similar = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])}
     assert links == similar and (shared or similar)
+
+
+def test_toxicity_learns_from_every_labelled_row_and_word(spark):
+    """More ordinary rows than 4,000 and more words than 320,000 / 2, without a sign of the label in them."""
+    rng = np.random.default_rng(5)
+    words = ["".join(w) for w in rng.choice(list("abcdefghij"), (9500 * 25, 6))]
+    docs = spark.createDataFrame([(i, " ".join(words[25 * i : 25 * i + 25])) for i in range(9500)], "doc_id bigint, text string").repartition(4).localCheckpoint()
+    scorer = toxicity_kn.fit(docs, docs.select("doc_id", (F.col("doc_id") % 19 == 0).cast("int").alias("toxic")))
+    runs = {m[max(0, i - 5) : i + 1] for w in set(words) for m in [f"<{w}>"] for i in range(1, len(m))}
+    assert len(scorer.model.gram) == len(runs)
+    # of measures that tell nothing the calibration gives the share of toxic rows among all
+    assert abs(1 / (1 + np.exp(-scorer.weights[0] - scorer.weights[1:] @ [np.median(x) for x in scorer.model.features(toxicity_kn.lower_words(pa.array([" ".join(words[k : k + 25]) for k in range(3, 5000, 25)]))).T])) - 1 / 19) < 0.02
+
+
+def test_logistic_sums_by_parts():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 2))
+    y = (rng.random(3000) < 1 / (1 + np.exp(1 - 2 * x[:, 0] + x[:, 1]))).astype(float)
+    t = toxicity_kn._logistic(lambda t: sum(toxicity_kn._sums(x[k::7], y[k::7], t) for k in range(7)), 2)
+    assert np.allclose(t, [-1, 2, -1], atol=0.25)
+    assert np.allclose(toxicity_kn._sums(x, y, t)[:3], [0, *(0.1 * t[1:])], atol=1e-3)
