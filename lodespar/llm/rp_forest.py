@@ -8,11 +8,14 @@ label are compared exactly, and links of cosine 0.98 or more are verified in
 double precision. Groups are connected components of links.
 
 Equal vectors of a label are one class first. A node whose sample lies within
-a narrow cone is not split, for splitting would tear near-duplicates apart; a
-leaf of any size is compared in full, block by block, each pair of blocks in a
-task of its own. A pair of classes that share several leaves is counted in the
-first of them, so numbers of links need no list of pairs; for groups, each block
-sends only a spanning forest of its links.
+a narrow cone is not split, for splitting would tear near-duplicates apart. The
+leaves below one node of about CELL vectors are a cell: its vectors are sent to a
+task once a label, not once a leaf. Where a cell holds more than MOST vectors of
+a label, its leaves are sent one by one; a leaf of any size is compared in full,
+block by block, each pair of blocks in a task of its own. A pair of classes that
+share several leaves is counted in the first of them, so numbers of links need
+no list of pairs; for groups, each cell or block sends only a spanning forest of
+its links.
 
 Vectors of each length have a forest of their own, for those of different
 lengths have no cosine. A length too rare for the sample, of which there are
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _util
-from ._graph import Union, components
+from ._graph import components
 from ._rows import RowTable
 
 THRESHOLD = 0.98
@@ -49,6 +52,10 @@ SAMPLE = 20_000
 LEAF, LEAF_SAMPLE = 400, 12
 #: A node is narrow where nine in ten of its sample have this cosine or more with their mean.
 NARROW = 0.9
+#: Vectors of a cell about, over all labels, and classes of one label in it at most.
+CELL, MOST = 32_768, 40_960
+#: Bytes of vectors that go through the trees at once; pairs that are counted at once.
+GROW_BYTES, PAIRS = 32 << 20, 1 << 17
 #: Classes of a block; a task compares two of them, TILE classes with TILE at once.
 BLOCK, TILE = 4096, 1024
 SEED = 7
@@ -62,6 +69,7 @@ class Forest:
         self.direction: list[np.ndarray | None] = []
         self.bounds: list[tuple[float, float]] = []
         self.child: list[tuple[int, int]] = []
+        self.cell: list[int] = []
         self.roots: list[int] = []
         rng = np.random.default_rng(seed)
         if len(sample) < 4 * LEAF_SAMPLE and total > 4 * LEAF:
@@ -72,9 +80,12 @@ class Forest:
             root = len(self.child)
             self.roots.append(root)
             self._add()
-            todo = [(root, np.arange(len(sample)))]
+            todo = [(root, np.arange(len(sample)), -1)]
             while todo:
-                node, at = todo.pop()
+                node, at, cell = todo.pop()
+                if cell < 0 and len(at) <= CELL * share:
+                    cell = node
+                self.cell[node] = node if cell < 0 else cell
                 if len(at) <= least:
                     continue
                 x = sample[at]
@@ -91,17 +102,20 @@ class Forest:
                 self.direction[node], self.bounds[node] = d / np.linalg.norm(d), (low, high)
                 a, b = self._add(), self._add()
                 self.child[node] = (a, b)
-                todo += [(a, left), (b, right)]
+                todo += [(a, left, cell), (b, right, cell)]
+        self.cells = np.array(self.cell, np.int32)
+        self.is_leaf = np.array([a < 0 for a, _ in self.child], bool)
 
     def _add(self) -> int:
         self.direction.append(None)
         self.bounds.append((0.0, 0.0))
         self.child.append((-1, -1))
+        self.cell.append(-1)
         return len(self.child) - 1
 
-    def leaves(self, x: np.ndarray) -> list[list[int]]:
-        """The leaves of each row, in rising order."""
-        out: list[list[int]] = [[] for _ in range(len(x))]
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves of each row, in rising order, one row after another; and where each row's begin, and the last ends."""
+        rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         todo = [(r, np.arange(len(x))) for r in self.roots[::-1]]
         while todo:
             node, at = todo.pop()
@@ -109,13 +123,14 @@ class Forest:
                 continue
             a, b = self.child[node]
             if a < 0:
-                for i in at.tolist():
-                    out[i].append(node)
+                rows.append(at)
+                nodes.append(np.full(len(at), node, np.int32))
                 continue
             p = x[at] @ self.direction[node]
             low, high = self.bounds[node]
             todo += [(b, at[p >= low]), (a, at[p <= high])]
-        return [sorted(o) for o in out]
+        row, node = np.concatenate(rows), np.concatenate(nodes)
+        return node[np.lexsort((node, row))], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(x)))))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -128,17 +143,43 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _forest_edges(i: np.ndarray, j: np.ndarray, n: int) -> list[int]:
-    joined = Union(n)
-    return [k for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())) if joined.join(a, b)]
-
-
-def _shared_before(a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
-    """a, b: leaves of each pair's two sides, padded by -1 and -2. Whether they share one before leaf."""
-    hit = np.zeros(len(a), bool)
-    for k in range(a.shape[1]):
-        hit |= ((a[:, k : k + 1] == b) & (b < leaf)).any(1)
-    return hit
+class Groups:
+    """Sets of the numbers below n, joined by many links at once."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the links that make a spanning forest with the links before."""
+        kept = [(i[:0], j[:0])]
+        while True:
+            a, b = self.of[i], self.of[j]
+            apart = a != b
+            if not apart.any():
+                return np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            kept.append((i[first], j[first]))
+            # each set hangs below a lower one, so no ring can come about
+            up = np.arange(len(self.of))
+            up[high] = np.minimum(a, b)[first]
+            while (up[up] != up).any():
+                up = up[up]
+            self.of = up[self.of]
+
+
+def _first_shared(la: np.ndarray, i: np.ndarray, lb: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first leaf that rows i of la and j of lb share, leaves in rising order; they must share one."""
+    out, at = np.zeros(len(i), la.dtype), np.arange(len(i))
+    flat_a, flat_b, p, q = la.ravel(), lb.ravel(), i * la.shape[1], j * lb.shape[1]
+    while len(at):
+        a, b = flat_a[p], flat_b[q]
+        same = a == b
+        out[at[same]] = a[same]
+        go = np.flatnonzero(~same)
+        a, b = a[go], b[go]
+        at, p, q = at[go], p[go] + (a < b), q[go] + (b < a)
+    return out
 
 
 def compare(xa: np.ndarray, xb: np.ndarray, la: np.ndarray, lb: np.ndarray, leaf: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -150,18 +191,18 @@ def compare(xa: np.ndarray, xb: np.ndarray, la: np.ndarray, lb: np.ndarray, leaf
             i, j = i + p, j + q
             if same:
                 i, j = i[i < j], j[i < j]
+            first = _first_shared(la, i, lb, j) == leaf
+            i, j = i[first], j[first]
             exact = np.einsum("ij,ij->i", xa[i], xb[j]) >= THRESHOLD
-            i, j = i[exact], j[exact]
-            first = ~_shared_before(la[i], lb[j], leaf)
-            out.append((i[first], j[first]))
+            out.append((i[exact], j[exact]))
     none = np.zeros(0, np.int64)
     return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (none, none)
 
 
-def _pad(lists: list[list[int]], fill: int) -> np.ndarray:
-    out = np.full((len(lists), max(map(len, lists), default=1)), fill, np.int64)
-    for i, x in enumerate(lists):
-        out[i, : len(x)] = x
+def _pad(lists: pa.Array) -> np.ndarray:
+    size = np.asarray(lists.value_lengths()).astype(np.int64)
+    out = np.full((len(lists), size.max(initial=1)), np.iinfo(np.int32).max, np.int32)
+    out[np.repeat(np.arange(len(lists)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
     return out
 
 
@@ -173,16 +214,62 @@ def _links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     x = _unit(_matrix(table.column("embedding").combine_chunks()))
     ids = table.column("class").to_numpy()
     weight = table.column("size").to_numpy().astype(float)
-    lists = table.column("leaves").to_pylist()
+    lists = _pad(table.column("leaves").combine_chunks())
     a, b = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(~side), np.flatnonzero(side))
-    i, j = compare(x[a], x[b], _pad([lists[k] for k in a], -1), _pad([lists[k] for k in b], -2), leaf, same)
+    i, j = compare(x[a], x[b], lists[a], lists[b], leaf, same)
     i, j = a[i], b[j]
     n = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+    return _found(ids, n, *Groups(len(ids)).join(i, j))
+
+
+def _found(ids: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Table:
     some = np.flatnonzero(n)
-    kept = _forest_edges(i, j, len(ids))
-    node = np.concatenate((ids[some], ids[i[kept]]))
-    other = pa.array(np.concatenate((np.zeros(len(some), np.int64), ids[j[kept]])), mask=np.arange(len(node)) < len(some))
-    return pa.table({"node": pa.array(node, pa.int64()), "other": other, "n": pa.array(np.concatenate((n[some], np.zeros(len(kept)))).astype(np.int64))})
+    node = np.concatenate((ids[some], ids[i]))
+    other = pa.array(np.concatenate((np.zeros(len(some), np.int64), ids[j])), mask=np.arange(len(node)) < len(some))
+    return pa.table({"node": pa.array(node, pa.int64()), "other": other, "n": pa.array(np.concatenate((n[some], np.zeros(len(i)))).astype(np.int64))})
+
+
+def _cell_links(cells: np.ndarray, cell: int, table: pa.Table) -> pa.Table:
+    """All leaves of one cell and label; cells: the cell of each leaf. Rows as those of _links."""
+    x = _unit(_matrix(table.column("embedding").combine_chunks()))
+    ids, weight = table.column("class").to_numpy(), table.column("size").to_numpy().astype(float)
+    lists = table.column("leaves").combine_chunks()
+    padded = _pad(lists)
+    flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
+    inside = cells[flat] == cell
+    flat, row = flat[inside], row[inside]
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    begin = np.flatnonzero(np.diff(flat, prepend=-1))
+    n, groups, kept, held, pairs = np.zeros(len(ids)), Groups(len(ids)), [], [], 0
+
+    def count() -> None:
+        for k in range(0, pairs, PAIRS):
+            i, j, leaf = (np.concatenate([h[c] for h in held])[k : k + PAIRS] for c in range(3))
+            good = _first_shared(padded, i, padded, j) == leaf
+            i, j = i[good], j[good]
+            good = np.einsum("ij,ij->i", x[i], x[j]) >= THRESHOLD
+            i, j = i[good], j[good]
+            n[:] += np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+            kept.append(groups.join(i, j))
+        held.clear()
+
+    for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(flat)]):
+        at = row[s:e]
+        for p in range(0, e - s, TILE):
+            for q in range(p, e - s, TILE):
+                i, j = np.nonzero(x[at[p : p + TILE]] @ x[at[q : q + TILE]].T >= THRESHOLD - 1e-9)
+                if p == q:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    held.append((at[i + p], at[j + q], np.full(len(i), flat[s])))
+                    pairs += len(i)
+                if pairs >= PAIRS:
+                    count()
+                    pairs = 0
+    count()
+    none = np.zeros(0, np.int64)
+    return _found(ids, n, *(np.concatenate([none, *(k[c] for k in kept)]) for c in (0, 1)))
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -202,7 +289,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reps = named.withColumn("size", F.get(chosen.get(F.col("row")), F.lit(0))).where("size is not null")
     reps = _util.cut(reps.select(F.col("row").alias("class"), "size", "label", "embedding"))
     chosen.drop()
-    found = _util.cut(_forest_links(reps))
+    found = _forest_links(reps)
     _util.drop_cut(reps)
     links = found.where("other is null").groupBy(F.col("node").alias("class")).agg(F.sum("n").alias("far"))
     comp = _util.cut(components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))))
@@ -231,19 +318,58 @@ def _forest_links(reps: DataFrame) -> DataFrame:
         return fitted[dim]
 
     def grow(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+
+        def send(dim: int) -> pa.RecordBatch:
+            part = pa.Table.from_batches(held.pop(dim)).combine_chunks().to_batches()[0]
+            leaves, to = forest(dim).leaves(_unit(_matrix(part.column("embedding"))))
+            row, cell = np.repeat(np.arange(part.num_rows), np.diff(to)), forest(dim).cells[leaves]
+            order = np.lexsort((cell, row))
+            row, cell = row[order], cell[order]
+            new = (np.diff(row, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0)
+            lists = [(leaves, to), (cell[new], np.concatenate(([0], np.cumsum(np.bincount(row[new], minlength=part.num_rows)))))]
+            lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(v, pa.int32())) for v, o in lists]
+            return pa.record_batch([*(part.column(c) for c in ("class", "size", "label", "embedding")), pa.array([dim] * part.num_rows, pa.int32()), *lists], names=["class", "size", "label", "embedding", "dim", "leaves", "cells"])
+
         for batch in batches:
             size = np.asarray(batch.column("embedding").value_lengths())
             for dim in np.unique(size).tolist():
-                part = batch.filter(pa.array(size == dim))
-                leaves = forest(dim).leaves(_unit(_matrix(part.column("embedding"))))
-                yield pa.record_batch([part.column("class"), part.column("size"), part.column("label"), part.column("embedding"), pa.array([dim] * part.num_rows, pa.int32()), pa.array(leaves, pa.list_(pa.int64()))], names=["class", "size", "label", "embedding", "dim", "leaves"])
+                held.setdefault(dim, []).append(batch.filter(pa.array(size == dim)))
+            while sum(8 * d * b.num_rows for d, bs in held.items() for b in bs) >= GROW_BYTES:
+                yield send(max(held, key=lambda d: sum(8 * d * b.num_rows for b in held[d])))
+        while held:
+            yield send(next(iter(held)))
+
+    def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _cell_links(forest(key[1].as_py()).cells, key[2].as_py(), table)
+
+    def leaves_of(batches):
+        for batch in batches:
+            for k, (dim, cell) in enumerate(zip(batch.column("dim").to_pylist(), batch.column("cell").to_pylist())):
+                leaf = np.flatnonzero((forest(dim).cells == cell) & forest(dim).is_leaf)
+                yield pa.record_batch([batch.column("label").take(pa.array([k] * len(leaf))), pa.array([dim] * len(leaf), pa.int32()), pa.array(leaf, pa.int32())], names=["label", "dim", "leaf"])
 
     label = reps.schema["label"].dataType.simpleString()
-    placed = _util.cut(reps.mapInArrow(grow, f"class bigint, size bigint, label {label}, embedding array<double>, dim int, leaves array<bigint>"))
-    single = placed.select("class", "label", "dim", F.explode("leaves").alias("leaf"))
-    # a leaf of more than a block of one label is dealt into blocks by a hash; each pair of blocks is compared
-    sizes = single.groupBy("label", "dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "dim", "leaf", "blocks")
-    rows = placed.select("*", F.explode("leaves").alias("leaf")).join(sizes, ["label", "dim", "leaf"]).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "class"), F.col("blocks")).cast("int"))
+    placed = _util.cut(reps.mapInArrow(grow, f"class bigint, size bigint, label {label}, embedding array<double>, dim int, leaves array<int>, cells array<int>"))
+    cell = ["label", "dim", "cell"]
+    large = _util.cut(placed.select("label", "dim", F.explode("cells").alias("cell")).groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST).select(*cell))
+    rows = placed.select("class", "size", "label", "dim", "embedding", "leaves", F.explode("cells").alias("cell"))
+    some = not large.isEmpty()
+    found = (rows.join(large, cell, "left_anti") if some else rows).groupBy(*cell).applyInArrow(links, "node bigint, other bigint, n bigint")
+    if some:
+        found = found.unionAll(_leaf_links(placed, large.mapInArrow(leaves_of, f"label {label}, dim int, leaf int")))
+    found = _util.cut(found)
+    _util.drop_cut(placed)
+    _util.drop_cut(large)
+    return found
+
+
+def _leaf_links(placed: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The links of the given leaves by label; a leaf of more than a block is dealt into blocks by a hash, and each pair of blocks is compared."""
+    leaf = ["label", "dim", "leaf"]
+    single = placed.select("class", "label", "dim", F.explode("leaves").alias("leaf")).join(leaves, leaf, "left_semi")
+    sizes = single.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*leaf, "blocks")
+    rows = placed.select("*", F.explode("leaves").alias("leaf")).join(sizes, leaf).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "class"), F.col("blocks")).cast("int"))
     pairs = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("class", "size", "label", "dim", "embedding", "leaves", "leaf", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), (F.col("block") > F.col("o")).alias("side"))
     return pairs.groupBy("label", "dim", "leaf", "p", "q").applyInArrow(_links, "node bigint, other bigint, n bigint")

@@ -332,3 +332,38 @@ def test_logistic_sums_by_parts():
     t = toxicity_kn._logistic(lambda t: sum(toxicity_kn._sums(x[k::7], y[k::7], t) for k in range(7)), 2)
     assert np.allclose(t, [-1, 2, -1], atol=0.25)
     assert np.allclose(toxicity_kn._sums(x, y, t)[:3], [0, *(0.1 * t[1:])], atol=1e-3)
+
+
+def test_cells_and_leaves_find_the_same(spark, monkeypatch):
+    """Links of near copies whether sent by cell, by leaf, or some by each; a vector goes to fewer cells than leaves."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((900, 16))
+    x = np.concatenate((base, base[:300] + 0.02 * rng.standard_normal((300, 16)), base[:1] + 0.01 * rng.standard_normal((200, 16))))
+    df = spark.createDataFrame([(i, v, i % 3 // 2) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int").repartition(3).localCheckpoint()
+    found = []
+    for least, cell, most in ((40, 32_768, 40_960), (40, 300, 40_960), (40, 32_768, 0), (40, 300, 120)):
+        monkeypatch.setattr(rp_forest, "LEAF", least)
+        monkeypatch.setattr(rp_forest, "CELL", cell)
+        monkeypatch.setattr(rp_forest, "MOST", most)
+        found.append(sorted((r.vec_id, r.n_links, r.component_id) for r in rp_forest.near_duplicates(df).collect()))
+    assert all(f == found[0] for f in found) and sum(n for _, n, _ in found[0]) > 10_000
+    forest = rp_forest.Forest(rp_forest._unit(x), len(x))
+    leaves, to = forest.leaves(rp_forest._unit(x))
+    assert len(np.unique(np.stack((np.repeat(np.arange(len(x)), np.diff(to)), forest.cells[leaves])), axis=1).T) < len(leaves) / 1.5
+
+
+def test_groups_and_shared_leaves():
+    rng = np.random.default_rng(9)
+    i, j = rng.integers(0, 400, (2, 300))
+    groups = rp_forest.Groups(400)
+    kept = [groups.join(i[:100], j[:100]), groups.join(i[100:], j[100:])]
+    from lodespar.llm._graph import Union
+
+    plain, forest = Union(400), Union(400)
+    most = sum(plain.join(a, b) for a, b in zip(i.tolist(), j.tolist()))
+    assert all(forest.join(a, b) for k in kept for a, b in zip(k[0].tolist(), k[1].tolist())) and sum(len(k[0]) for k in kept) == most
+    assert [plain.find(k) for k in range(400)] == groups.of.tolist()
+    lists = [sorted({99, *rng.integers(0, 60, rng.integers(0, 9)).tolist()}) for _ in range(50)]
+    pad = rp_forest._pad(pa.array(lists, pa.list_(pa.int32())))
+    i, j = rng.integers(0, 50, (2, 500))
+    assert rp_forest._first_shared(pad, i, pad, j).tolist() == [min(set(lists[a]) & set(lists[b])) for a, b in zip(i, j)]
