@@ -20,6 +20,13 @@ LIMIT, LIMIT_BYTES = 450_000, 1 << 26
 LONG = 1000
 
 
+def spread(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the stretches named by codes in a row, and where each one's end."""
+    n = (end - begin)[codes]
+    ends = np.cumsum(n)
+    return flat[np.repeat(begin[codes] - (ends - n), n) + np.arange(int(ends[-1]))], ends
+
+
 class _Table:
     """Stretches by number; their ids stand one after another in flat."""
 
@@ -31,24 +38,30 @@ class _Table:
 
     def put(self, ids: list[bytes]) -> np.ndarray:
         """Writes ids behind those of the known stretches, where the next ones will be written too; returns where each begins and the last ends."""
-        raw = np.frombuffer(b"".join(ids), np.uint32)
+        return self._write(np.frombuffer(b"".join(ids), np.uint32), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
+
+    def _write(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
         used = int(self.ends[len(self.index)])
         if used + len(raw) > len(self.flat):
             self.flat = np.concatenate((self.flat[:used], np.empty(used + 2 * len(raw), np.uint32)))
         self.flat[used : used + len(raw)] = raw
-        return used + np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)))
+        return used + np.concatenate(([0], ends))
 
     def add(self, keys: list[str], ids: list[bytes]) -> None:
+        self._name(keys, self.put(ids))
+
+    def bring(self, keys: list[str], old: _Table, known: np.ndarray) -> None:
+        """Adds stretches of another table, by their numbers there."""
+        self._name(keys, self._write(*spread(old.flat, old.ends[known], old.ends[known + 1], np.arange(len(known)))))
+
+    def _name(self, keys: list[str], cuts: np.ndarray) -> None:
         n = len(self.index)
         if n + len(keys) + 1 > len(self.ends):
             self.ends = np.concatenate((self.ends[: n + 1], np.zeros(n + 2 * len(keys), np.int64)))
-        self.ends[n + 1 : n + 1 + len(keys)] = self.put(ids)[1:]
+        self.ends[n + 1 : n + 1 + len(keys)] = cuts[1:]
         self.index.update(zip(keys, range(n, n + len(keys))))
         self.chars += sum(map(len, keys))
 
-    def get(self, i: int) -> bytes:
-        return self.flat[self.ends[i] : self.ends[i + 1]].tobytes()
-
     def full(self, limit: int) -> bool:
         n = len(self.index)
         return n > limit or 4 * int(self.ends[n]) + self.chars > LIMIT_BYTES
@@ -66,7 +79,7 @@ class Stretches:
         self.solve, self.whole, self.uncut, self.lead, self.limit = solve, whole, uncut, lead, limit
         self.young, self.old = _Table(), _Table()
 
-    def _places(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def places(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, and where each key's begin and end.
 
         What is used stays: a full generation becomes the old one, from which
@@ -84,10 +97,13 @@ class Stretches:
             words = [keys[i] for i in missing.tolist()]
             known = np.fromiter(map(old.index.get, words, repeat(-1)), np.int64, len(words))
             order = np.argsort(known < 0, kind="stable")  # those of the older generation first
-            known = known[known >= 0].tolist()
-            names = [words[i] for i in order.tolist()] if known else words
+            known = known[known >= 0]
+            names = [words[i] for i in order.tolist()] if len(known) else words
             at[missing[order]] = len(young.index) + np.arange(len(words))
-            young.add(names, [old.get(i) for i in known] + self.solve(names[len(known) :]))
+            if len(known):
+                young.bring(names[: len(known)], old, known)
+            if len(known) < len(names):
+                young.add(names[len(known) :], self.solve(names[len(known) :]))
         begin, end = young.ends[at], young.ends[at + 1]
         if once:
             cuts = young.put(self.solve([keys[i] for i in once]))
@@ -114,9 +130,7 @@ class Stretches:
             heads = words.dictionary.take(pa.array(codes[offs[:-1]])).dictionary_encode()
             codes[offs[:-1]] = len(kinds) + heads.indices.to_numpy()
             kinds += [" " + k for k in heads.dictionary.to_pylist()]
-        flat, begin, end = self._places(kinds)
-        n = (end - begin)[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[codes] - (ends - n), n) + np.arange(int(ends[-1]))]
+        flat, begin, end = self.places(kinds)
+        ids, ends = spread(flat, begin, end, codes)
         cuts = np.concatenate(([0], ends))[offs]
         return [np.frombuffer(apart[i], np.uint32) if i in apart else ids[a:b] for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()))]

@@ -26,8 +26,10 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import uuid
 import zlib
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -152,14 +154,28 @@ class Reader:
 #: White space, for RE2; and a space at which a text can't be cut for a byte-level vocabulary: white space before it, and white space or the end after it.
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _TIED = f"{_WS} (?:{_WS}|\\z)"
+#: Letters of which all versions of Unicode and both engines of regular expressions think alike.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Words behind a space each, of these letters, ASCII digits and marks, and line ends inside.
+_KNOWN = re.compile(f"(?: [!-~{_LETTERS}]++(?:\\n++[!-~{_LETTERS}]++)*+)++").fullmatch
+#: The rule by which the library cuts a text before it merges, for known words.
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+").findall
+#: The rule in the vocabulary's file that _PARTS stands for.
+_RULE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Characters that stand for the 256 bytes in a byte-level vocabulary.
+_SHOWN = np.arange(256, dtype="<u4")
+_SHOWN[[*range(33), *range(127, 161), 173]] = np.arange(256, 324)
 
 
 class Encoder:
     """Ids of whole texts under a byte-level vocabulary of the tokenizers library.
 
     Its rules never let a token pass a single space, so a text is cut before
-    spaces and each distinct word goes to the library once; a text with a space
-    between other white space goes to it whole.
+    spaces and each distinct word is encoded once; a text with a space between
+    other white space goes to the library whole. Words of western letters,
+    digits and ASCII marks are cut further by the library's own rule, and its
+    model gets each distinct part ("word" of "word," and "word.") once. Both are
+    kept from task to task within _stretch's bounds.
     """
 
     def __init__(self, path: str, limit: int = _stretch.LIMIT):
@@ -171,23 +187,61 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        rules = json.loads(self.tokenizer.to_str())
+        cut = rules["pre_tokenizer"] or {}
+        #: Whether the library's rule of cutting is the one known here.
+        self.cuts = rules["normalizer"] is None and {k: cut.get(k) for k in _RULE} == _RULE and all(t["special"] for t in rules["added_tokens"])
         self.stretches = _stretch.Stretches(self._solve, self._whole, _TIED, True, limit)
+        self.parts = _stretch.Stretches(self._merge, self._whole, _TIED, False, limit)
 
     def _solve(self, words: list[str]) -> list[bytes]:
-        """Plain words go to the library behind a space each, as one text: just their first tokens begin with a space."""
         texts = [w[1:] if w[:1] == " " else " " + w for w in words]  # the first stretch of a text comes behind a space and has none
+        out: list[bytes] = []
+        for i in range(0, len(texts), 5000):
+            part = texts[i : i + 5000]
+            text = "".join(part)
+            alike = self.cuts and text.count(" ") == len(part) and _KNOWN(text)
+            out += self._by_parts(text, len(part)) if alike else self._sorts(part)
+        return out
+
+    def _sorts(self, texts: list[str]) -> list[bytes]:
+        """Plain words stand behind a space each in one text, of which just their first tokens begin with a space."""
         out: dict[str, bytes] = {}
         plain = [w for w in texts if len(w) > 1 and w[0] == " " and w[1:].strip() == w[1:]]  # no white space at either end behind the space
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            ids = np.array(self._ids("".join(part)), "<u4")
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) != len(part) or at[0]:
-                raise ValueError("tokens pass a space")
-            raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
-            out.update(zip(part, [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]))
+        known = [w for w in plain if self.cuts and _KNOWN(w)]
+        other = sorted(set(plain).difference(known))
+        for solve, some in ((self._by_parts, known), (self._by_text, other)):
+            if some:
+                out.update(zip(some, solve("".join(some), len(some))))
         return [out[w] if w in out else self._whole(w) for w in texts]
 
+    def _by_text(self, text: str, n: int) -> list[bytes]:
+        return self._slices(np.array(self._ids(text), "<u4"), n)
+
+    def _by_parts(self, text: str, n: int) -> list[bytes]:
+        """The text is cut here and each distinct part merged once, for many words share their parts."""
+        parts = pa.array(_PARTS(text)).dictionary_encode()
+        flat, begin, end = self.parts.places(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return self._slices(_stretch.spread(flat, begin, end, parts.indices.to_numpy())[0], n)
+
+    def _merge(self, parts: list[str]) -> list[bytes]:
+        """By the library's model alone, to which bytes are shown as characters."""
+        shown = _SHOWN[np.frombuffer("\0".join(parts).encode(), np.uint8)].tobytes().decode("utf-32-le").split(chr(_SHOWN[0]))
+        tokens, ends, merge = [], [0], self.tokenizer.model.tokenize
+        for part in shown:
+            tokens += merge(part)
+            ends.append(4 * len(tokens))
+        raw = np.fromiter(map(attrgetter("id"), tokens), "<u4", len(tokens)).tobytes()
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def _slices(self, ids: np.ndarray, n: int) -> list[bytes]:
+        """The ids of n words that stand behind a space each."""
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != n or at[0]:
+            raise ValueError("tokens pass a space")
+        raw, ends = ids.tobytes(), [*(4 * at[1:]).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip((4 * at).tolist(), ends)]
+
     def _ids(self, text: str) -> list[int]:
         """By the library's form that keeps no places in the text."""
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
